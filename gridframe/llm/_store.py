@@ -46,3 +46,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small, unless the session already has its own limits."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", None, str(32 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if default is None or spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import decontaminate, line_dedup, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    c = F.col("contamination")
+    scored = decontaminate.contaminate_columns(docs, _table(spark, sf_dir, "benchmark"), window=10)
+    return scored.select(
+        "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -24,12 +34,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLES = {
     "op4_line_dedup": f"""
         WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
@@ -39,6 +52,19 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
         FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id""",
+    "op6_decontaminate": rf"""
+        WITH items AS (SELECT item_id, regexp_extract_all({_LOWERED.format("text")}, '{_ALNUM}') AS w FROM benchmark),
+        sized AS (SELECT item_id, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win
+            FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+        docs AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWERED.format("text")}, '{_ALNUM}'), []) AS w FROM documents),
+        places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, item_id, n, i FROM places JOIN windows USING (n, win)),
+        marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op7_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
