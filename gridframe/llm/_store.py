@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +55,25 @@ def small_arrow_batches(spark: SparkSession) -> None:
         key = f"spark.sql.execution.arrow.{key}"
         if default is None or spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
+
+
+#: In ``lookup``, at most this many keys can have more than 1 / MOST_HOT of the rows.
+MOST_HOT = 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """Joins ``rows`` with a saved ``table`` that has one row per key, whatever the skew.
+
+    ``weight`` is a column of ``table`` with the number of ``rows`` that have the key.  Keys
+    with more than a share of 1 / MOST_HOT of all rows are broadcast: there cannot be
+    more than MOST_HOT of them.  For the others no task gets a large group.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    edge = max(1, total // MOST_HOT)
+    hot, cool = table.where(F.col(weight) > edge).drop(weight), table.where(F.col(weight) <= edge).drop(weight)
+    if not hot.take(1):
+        return rows.join(cool, key, how)
+    marks = hot.select(key)
+    few = rows.join(F.broadcast(hot), key, "inner" if how == "left" else how)
+    rest = rows.join(F.broadcast(marks), key, "left_anti")
+    return few.unionByName(rest.join(cool, key, how))
