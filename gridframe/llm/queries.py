@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing
+from . import decontaminate, jaccard_join, line_dedup, mixing, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of 50k."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.tokenize_and_read(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -38,6 +49,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_output": op3_token_output,
     "op4_line_dedup": op4_line_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
