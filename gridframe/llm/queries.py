@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, mixing, token_output
+from . import decontaminate, html_extract, jaccard_join, line_dedup, mixing, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def held_out(doc_id: str) -> Column:
+    """Whether a document's labels must not be learned from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenize_and_read(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -54,6 +65,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_toxicity": op2_toxicity,
     "op3_token_output": op3_token_output,
     "op4_line_dedup": op4_line_dedup,
     "op5_jaccard_join": op5_jaccard_join,
