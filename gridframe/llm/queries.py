@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, mixing, token_output, toxicity
+from . import decontaminate, html_extract, jaccard_join, line_dedup, mixing, secret_scan, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Rules by host and path.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    model = secret_scan.fit(secret_scan.made_findings(spark))
+    return secret_scan.scan(docs, model).select("doc_id", "ordinal", "candidate", "score", "is_secret")
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +86,8 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
