@@ -23,9 +23,9 @@ together, and each plane is compressed by zstandard on its own.
 **Reading** decodes a shard's blocks in order and cuts the stream at the documents.
 A reader of one range of ids needs only the blocks whose ``first`` and ``n_ids`` cover it.
 
-Texts are encoded in pieces that begin at a space before a plain character: there the
-pre-tokenizer always begins a new token, so pieces encode as they do in the whole
-text.  A piece is encoded once and then looked up.
+Texts are encoded in pieces that are cut where the pre-tokenizer always ends a token, so
+pieces encode as they do in the whole text.  A Python worker encodes a piece once and
+then looks it up, in any of its tasks.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ from ._words import slices
 
 #: Text bytes in a shard, about.
 SHARD_BYTES = 256 << 20
-#: Pieces that a task remembers with their ids.
-MOST_KNOWN = 800_000
+#: Pieces that a Python worker remembers with their ids.
+MOST_KNOWN = 500_000
 
 FORMAT = "shard int, chunk int, first long, n_ids int, kind string, index array<int>, payload binary, docs array<struct<id: long, start: long, n: long>>"
 _BLOCK = pa.schema([
@@ -89,26 +89,75 @@ def unpack(index: list[int], payload: bytes, n: int, kind: str, decompressor: zs
     return from_planes([decompressor.decompress(payload[a:b]) for a, b in zip(index[:-1], index[1:], strict=True)], n, kind)
 
 
-#: Bytes that can follow a space at which a piece begins: no white space, no first byte of Unicode white space.
-_AFTER = np.ones(256, dtype=bool)
+# Kinds of bytes at which texts may be cut into pieces.
+_LETTER, _MARK, _AFTER = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[39] = False
 _AFTER[:33] = False
 _AFTER[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
+def piece_starts(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start; ``begins``: where the texts that are not empty do.
+
+    Only places where the pre-tokenizer ends a token whatever stands around: before a space
+    that plain text follows, between a letter and a mark, before a line's end after a letter or
+    mark, and between such an end and a letter.
+    """
+    space, line = raw == 32, raw == 10
+    letter, mark = _LETTER[raw], _MARK[raw]
+    cut = np.zeros(len(raw), bool)
+    cut[:-1] = space[:-1] & _AFTER[raw[1:]]
+    ends = line[1:] & (letter[:-1] | mark[:-1])
+    cut[1:] |= (letter[:-1] & mark[1:]) | ends
+    cut[2:] |= ends[:-1] & letter[2:]
+    cut[begins] = True
+    return np.flatnonzero(cut)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that the byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Encodes columns of whole texts to one array of ids and the number of ids of each."""
 
     def __init__(self, tokenizer_json: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        kind = json.loads(tokenizer_json)
+        split = kind.get("pre_tokenizer") or {}
+        #: Whether a word is one token of the pre-tokenizer, so that the model alone can encode it.
+        self.plain = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not kind["model"].get("ignore_merges")
+        self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.bounds = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
+    def _lists(self, pieces: list[str]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        rest = []
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for i, x in enumerate(pieces):
+            if self.plain and (x[1:] if x[0] == " " else x).isalpha():
+                word = x.replace(" ", letters[32]) if x.isascii() else x.encode().decode("latin-1").translate(letters)
+                out[i] = [t.id for t in tokenize(word)]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _codes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of each piece, and the ids and bounds of all known pieces."""
         fresh = [x for x in pieces if x not in self.known]
@@ -117,7 +166,7 @@ class Encoder:
             fresh = pieces
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
-            lists = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            lists = self._lists(some)
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             self.ids.append(np.fromiter((y for x in lists for y in x), np.uint32, int(sizes.sum())))
             self.bounds.append(self.bounds[-1][-1] + np.cumsum(sizes))
@@ -133,10 +182,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        cut = np.zeros(len(raw), bool)
-        cut[:-1] = (raw[:-1] == 32) & _AFTER[raw[1:]]
-        cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        at = np.flatnonzero(cut)
+        at = piece_starts(raw, offsets[:-1][offsets[:-1] < offsets[1:]])
         pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.r_[at, len(raw)].astype(np.int64)), pa.py_buffer(raw.tobytes())).dictionary_encode()
         codes, ids, bounds = self._codes(pieces.dictionary.to_pylist())
         code = codes[pieces.indices.to_numpy()]
@@ -147,6 +193,18 @@ class Encoder:
         return out, np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> Encoder:
+    """This worker's encoder; what it remembers helps its later tasks."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer_json)
+    return _encoders[key]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 16, kind: str = "byte", level: int = 3) -> None:
     """Encodes the whole texts in ascending order of their ids and writes the format above to ``path``.
 
@@ -164,7 +222,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder, compressor = Encoder(sent.value), zstandard.ZstdCompressor(level=level)
+        encoder, compressor = _encoder(sent.value), zstandard.ZstdCompressor(level=level)
         waiting, held, docs_here, first, position, chunk = [], 0, [], 0, 0, 0
 
         def block(ids: np.ndarray, begun: list) -> pa.RecordBatch:
