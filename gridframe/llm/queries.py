@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, mixing, secret_scan, token_output, toxicity, url_filter
+from . import ann, decontaminate, html_extract, jaccard_join, line_dedup, mixing, secret_scan, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, model).select("doc_id", "ordinal", "candidate", "score", "is_secret")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, quantiser = ann.build(_table(spark, sf_dir, "embeddings"))
+    queries = index.where(F.col("id") % 100 == 0).select("id", "vector")
+    return ann.search(index, quantiser, queries, k=10)
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +94,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
+    "op10_ann": op10_ann,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
