@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +51,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small, unless the session already has its own limits."""
+def ready_python(spark: SparkSession) -> None:
+    """Prepares a session for functions that run on whole texts in Python workers.
+
+    Arrow batches are kept small, unless the session has limits of its own, and this
+    package is sent to the executors, which need not have it installed.
+    """
     for key, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", None, str(32 << 20))):
         key = f"spark.sql.execution.arrow.{key}"
         if default is None or spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
+    package = Path(__file__).parents[1]
+    name = f"{package.name}-package.zip"
+    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        file = Path(tempfile.mkdtemp()) / name
+        with zipfile.ZipFile(file, "w") as z:
+            for x in [package / "__init__.py", *(package / "llm").glob("*.py")]:
+                z.write(x, x.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(file))
 
 
 #: In ``lookup``, at most this many keys can have more than 1 / MOST_HOT of the rows.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import saved
+from ._store import ready_python, saved
 
 #: Queries that are broadcast at once.
 BLOCK = 4096
@@ -124,6 +124,7 @@ def build(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     the id.  Vectors of another length than the sample's most frequent take no part.
     The index has ``id, vector, codes, norm`` and is written to the shared folder.
     """
+    ready_python(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
     few = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(most_rows).toPandas()
     if not len(few):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import saved, small_arrow_batches
+from ._store import saved, ready_python
 from ._words import ALNUM, hashed_words
 
 #: Bytes of benchmark text that are broadcast at once.
@@ -191,7 +191,7 @@ def contaminate_columns(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     scored.  Empty tables give no hits, or no rows.  A column of that name is replaced.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    ready_python(spark)
     bench = benchmark.select(F.col(item_id_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + total // BLOCK_BYTES

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_arrow_batches
+from ._store import ready_python
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,7 +255,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text")
     read however long it is.  Rows are independent, so repeated rows and empty tables need
     no care; columns named like the new ones are replaced.
     """
-    small_arrow_batches(pages.sparkSession)
+    ready_python(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(sources: pd.Series) -> pd.Series:

@@ -15,11 +15,19 @@ in both.  A signature is the scheme, a partition and what the set has in it.
    differences to more than ``1.2 k`` partitions, that has a probability under 1e-11 for
    any pair, of the order of a clash of 64-bit hashes.
 
-Equal sets are one node from the start.  Candidates are checked exactly on the sets.
-Groups that share a signature are not expanded to pairs: first every node is checked
-against the member of its groups that shares most with the others, which unites groups of
-near copies; only pairs between components that are still apart are enumerated, after
-an exact lower bound on their difference from 512-bit parity sketches.
+Equal sets are one node from the start.  Candidates are checked exactly on the sets, after an
+exact lower bound on their difference from 512-bit parity sketches.  Groups that share a
+signature are not expanded to pairs:
+
+*  Every node is checked against its *centre*, the member of its groups that shares most
+   with the others.  That unites most groups of near copies.
+*  Nodes with one centre ``c`` are compared by what they differ in from it.  With ``D(x)`` the
+   symmetric difference of ``x`` and ``c``, two of them link if
+   ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` is small enough.  If both are linked to ``c`` they are in
+   one component already; else they must share a known part of their differences, so it is
+   enough to join on prefixes of these, rare elements first (what a node adds to ``c``
+   before what it lacks).
+*  Only pairs with different centres and in different components are taken from the groups.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import components
-from ._store import lookup, saved, small_arrow_batches
+from ._store import lookup, saved, ready_python
 from ._words import NON_SPACE, hashed_words, mix
 
 MOST_PARTS = 56
@@ -214,12 +222,18 @@ class _Links:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return pairs.join(self.tried, ["a", "b"], "left_anti") if self.tried is not None else pairs
 
+    def _sketched(self, rows: DataFrame, node: str, x: str) -> DataFrame:
+        own = self.sketches.select(F.col("node").alias(node), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        return rows.join(own, node)
+
+    def _close(self) -> Column:
+        """Whether two sketched sets can be near enough: equal parities bound their difference from below."""
+        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return apart * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent)
+
     def check(self, pairs: DataFrame) -> None:
         """Checks new pairs ``a, b`` exactly and unites the components of those that link."""
-        sketch = lambda x: self.sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        close = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
-        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        close = close.where(apart * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent)).select("a", "b", "n_a", "n_b")
+        close = self._sketched(self._sketched(pairs, "a", "a"), "b", "b").where(self._close()).select("a", "b", "n_a", "n_b")
         close = saved(close, "close")
         degree = saved(close.groupBy("a").agg(F.count("*").alias("uses")), "degrees")
         mine = saved(self.sets.withColumnRenamed("node", "a").join(degree, "a").withColumnRenamed("set", "set_a"), "sets-a")
@@ -241,7 +255,7 @@ class _Links:
         return saved(placed.join(several, "signature", "left_semi"), "apart")
 
     def by_centre(self, groups: DataFrame) -> DataFrame:
-        """For each node, the pair with the best centre of its groups that is not tried yet."""
+        """``x, y``: for each node ``x`` the best centre ``y`` of its groups that it was not checked with."""
         sizes = groups.groupBy("signature").agg(F.count("*").alias("size"))
         score = saved(groups.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("score")), "scores")
         scored = groups.join(score, "node")
@@ -250,16 +264,49 @@ class _Links:
         if self.tried is not None:
             keyed = pairs.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y"))
             pairs = keyed.join(self.tried, ["a", "b"], "left_anti")
-        best = pairs.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
-        return saved(self._new(best), "pairs")
+        best = pairs.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+        return saved(best, "best-centres")
+
+    def families(self, best: DataFrame) -> None:
+        """``node, centre``: the first centre of each node, or that centre's own if the two are linked."""
+        own = best.select(F.col("x").alias("node"), F.col("y").alias("centre"))
+        comp = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
+        above = own.select(F.col("node").alias("centre"), F.col("centre").alias("above")).join(comp("centre"), "centre").join(comp("above"), "above").where("c_centre = c_above").select("centre", "above")
+        self.family = saved(own.join(above, "centre", "left").select("node", F.coalesce("above", "centre").alias("centre")), "families")
+
+    def by_difference(self, groups: DataFrame) -> DataFrame:
+        """Pairs with one centre and in different components that can link, by their differences from it."""
+        nodes = saved(groups.select("node", "comp").distinct().join(self.family, "node"), "apart-nodes")
+        uses = saved(nodes.groupBy("centre").agg(F.count("*").alias("uses")), "centre-uses")
+        middle = saved(self.sets.select(F.col("node").alias("centre"), F.col("set").alias("c_set")).join(uses, "centre"), "centre-sets")
+        placed = lookup(nodes, middle, "centre", "uses").where("node <> centre").join(self.sets, "node")
+        r = (100 - self.percent) / (100 + self.percent)
+        ordered = lambda x, y: F.array_sort(F.array_except(x, y))
+        differ = placed.withColumn("diff", F.concat(ordered("set", "c_set"), ordered("c_set", "set")))
+        # Two nodes link if they share (excess + excess) / 2 of their differences at least.
+        differ = differ.withColumn("excess", F.size("diff") - r * F.size("set"))
+        differ = saved(differ.withColumn("far", F.size("diff") > r * (F.size("set") + F.size("c_set")) + 1e-9).select("node", "comp", "centre", "diff", "excess", "far"), "differences")
+        least = differ.groupBy("centre").agg(F.min("excess").alias("any_least"), F.min(F.when(F.col("far"), F.col("excess"))).alias("far_least"), F.count("*").alias("uses")).where("far_least IS NOT NULL")
+        bounded = self._sketched(lookup(differ, saved(least, "least-excess"), "centre", "uses"), "node", "b")
+        share = lambda other: F.greatest(F.ceil((F.col("excess") + F.col(other)) / 2 - 1e-9), F.lit(1))
+        prefix = lambda other: F.slice("diff", F.lit(1), F.greatest(F.size("diff") - share(other) + 1, F.lit(0)).cast("int"))
+        far = bounded.where("far").select("centre", F.col("node").alias("a"), F.col("comp").alias("c_a"), F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a"), F.explode(prefix("any_least")).alias("element"))
+        near = bounded.select("centre", F.col("node").alias("b"), F.col("comp").alias("c_b"), "n_b", "s_b", F.explode(prefix("far_least")).alias("element"))
+        pairs = far.join(near, ["centre", "element"]).where((F.col("c_a") != F.col("c_b")) & self._close()).select("a", "b")
+        return saved(self._new(pairs), "pairs")
 
-    def all_apart(self, groups: DataFrame) -> DataFrame:
-        """Every pair of a group's members in different components that is not tried yet."""
+    def across(self, groups: DataFrame) -> DataFrame:
+        """Pairs of a group's members in different components and with different centres."""
         counts = groups.groupBy("signature", "comp").agg(F.count("*").alias("n"))
         major = saved(counts.groupBy("signature").agg(F.max(F.struct("n", "comp")).alias("m")).select("signature", F.col("m.comp").alias("major")), "majors")
-        placed = saved(groups.join(major, "signature"), "placed")
-        minor = placed.where("comp <> major").select("signature", F.col("node").alias("x"), F.col("comp").alias("c_x"))
-        pairs = minor.join(placed, "signature").where("c_x <> comp AND (comp = major OR x < node)").select(F.col("x").alias("a"), F.col("node").alias("b"))
+        own = self.family.select("node", "centre")
+        placed = groups.join(own, "node", "left").withColumn("centre", F.coalesce("centre", "node")).join(major, "signature")
+        # Groups of one family are done.
+        several = placed.groupBy("signature").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).where("lo < hi").select("signature")
+        placed = saved(self._sketched(placed.join(several, "signature", "left_semi"), "node", "b"), "placed")
+        minor = placed.where("comp <> major").select("signature", F.col("node").alias("x"), F.col("comp").alias("c_x"), F.col("centre").alias("f_x"), F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a"))
+        other = F.expr("c_x <> comp AND f_x <> centre AND (comp = major OR x < node)")
+        pairs = minor.join(placed, "signature").where(other & self._close()).select(F.col("x").alias("a"), F.col("node").alias("b"))
         return saved(self._new(pairs), "pairs")
 
 
@@ -273,17 +320,21 @@ def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     separate rows of that id; a row without an id gets no component.  An empty table gives
     an empty result.  Other columns play no part.
     """
-    small_arrow_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
     flat = docs.select(F.col(id_col).alias("id"), features(text_col, words, percent).alias("f")).select("id", "f.*")
     rows = saved(flat, "features")
     known = rows.where(F.col("node").isNotNull() & F.col("id").isNotNull())
     reps = saved(known.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("uses")), "reps")
     links = _Links(docs, id_col, text_col, rows, reps.drop("uses"), words, percent)
     groups = links.members.join(links.comps, "node")
-    for _ in range(centre_rounds):
-        links.check(links.by_centre(saved(groups, "groups")))
+    for turn in range(max(centre_rounds, 1)):
+        best = links.by_centre(saved(groups, "groups"))
+        links.check(saved(links._new(best.select(F.col("x").alias("a"), F.col("y").alias("b"))), "pairs"))
+        if turn == 0:
+            links.families(best)
         groups = links.apart()
-    links.check(links.all_apart(groups))
+    links.check(links.by_difference(groups))
+    links.check(links.across(links.apart()))
     placed = reps.join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = saved(placed.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes")), "least-ids")
     final = saved(lookup(placed, least, "comp", "nodes").select("node", "component_id", "uses"), "node-components")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import saved, scratch, small_arrow_batches
+from ._store import saved, scratch, ready_python
 from ._words import slices
 
 #: Text bytes in a shard, about.
@@ -213,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
     writes an empty table.  Columns other than the two are not read.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    ready_python(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_arrow_batches
+from ._store import ready_python
 
 _STEPS = (1, 2, 3, 4, 5, 6, 8, 10)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
     the new ones are replaced.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    ready_python(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
