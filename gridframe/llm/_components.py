@@ -18,16 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-        large = both.join(saved(least, "least"), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        least = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         large = saved(large, "large-star")
-        least = saved(large.groupBy("a").agg(F.min("b").alias("least")), "least")
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
+        # Few edges lead down from a node by now.
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("least")), "a")
+        small = small.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
         small = saved(small.where("a <> b").distinct(), "small-star")
         # Done when every node hangs on one smaller node that hangs on none.
-        many = small.groupBy("a").count().where("count > 1")
-        chained = small.join(small.select(F.col("a").alias("b")), "b", "left_semi")
-        if not many.take(1) and not chained.take(1):
+        many = small.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        chained = small.join(small.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        if not many.unionByName(chained).take(1):
             break
         edges = small
     roots = small.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()

@@ -11,6 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +73,24 @@ def ready_python(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(file))
 
 
+@contextmanager
+def shuffled_joins(spark: SparkSession) -> Iterator[None]:
+    """While jobs run in this block, only sides with a proven bound are broadcast.
+
+    Spark would broadcast what happens to be small; then a plan, and what it costs the driver,
+    changes with the size of the input.
+    """
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in keys]
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: In ``lookup``, at most this many keys can have more than 1 / MOST_HOT of the rows.
 MOST_HOT = 10_000
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import components
-from ._store import lookup, saved, ready_python
+from ._store import lookup, ready_python, saved, shuffled_joins
 from ._words import NON_SPACE, hashed_words, mix
 
 MOST_PARTS = 56
@@ -231,7 +231,7 @@ class _Links:
         apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         return apart * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent)
 
-    def check(self, pairs: DataFrame) -> None:
+    def check(self, pairs: DataFrame, last: bool = False) -> None:
         """Checks new pairs ``a, b`` exactly and unites the components of those that link."""
         close = self._sketched(self._sketched(pairs, "a", "a"), "b", "b").where(self._close()).select("a", "b", "n_a", "n_b")
         close = saved(close, "close")
@@ -242,7 +242,8 @@ class _Links:
         common = F.size(F.array_intersect("set_a", "set_b"))
         linked = both.where(100 * common >= self.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
         linked = saved(linked, "linked")
-        self.tried = saved(pairs if self.tried is None else self.tried.unionByName(pairs), "tried")
+        if not last:
+            self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         side = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
         merged = components(linked.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
         merged = saved(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "merged")
@@ -292,8 +293,7 @@ class _Links:
         prefix = lambda other: F.slice("diff", F.lit(1), F.greatest(F.size("diff") - share(other) + 1, F.lit(0)).cast("int"))
         far = bounded.where("far").select("centre", F.col("node").alias("a"), F.col("comp").alias("c_a"), F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a"), F.explode(prefix("any_least")).alias("element"))
         near = bounded.select("centre", F.col("node").alias("b"), F.col("comp").alias("c_b"), "n_b", "s_b", F.explode(prefix("far_least")).alias("element"))
-        pairs = far.join(near, ["centre", "element"]).where((F.col("c_a") != F.col("c_b")) & self._close()).select("a", "b")
-        return saved(self._new(pairs), "pairs")
+        return far.join(near, ["centre", "element"]).where((F.col("c_a") != F.col("c_b")) & self._close()).select("a", "b")
 
     def across(self, groups: DataFrame) -> DataFrame:
         """Pairs of a group's members in different components and with different centres."""
@@ -306,8 +306,7 @@ class _Links:
         placed = saved(self._sketched(placed.join(several, "signature", "left_semi"), "node", "b"), "placed")
         minor = placed.where("comp <> major").select("signature", F.col("node").alias("x"), F.col("comp").alias("c_x"), F.col("centre").alias("f_x"), F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a"))
         other = F.expr("c_x <> comp AND f_x <> centre AND (comp = major OR x < node)")
-        pairs = minor.join(placed, "signature").where(other & self._close()).select(F.col("x").alias("a"), F.col("node").alias("b"))
-        return saved(self._new(pairs), "pairs")
+        return minor.join(placed, "signature").where(other & self._close()).select(F.col("x").alias("a"), F.col("node").alias("b"))
 
 
 def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, centre_rounds: int = 2) -> DataFrame:
@@ -320,7 +319,13 @@ def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     separate rows of that id; a row without an id gets no component.  An empty table gives
     an empty result.  Other columns play no part.
     """
-    ready_python(docs.sparkSession)
+    spark = docs.sparkSession
+    ready_python(spark)
+    with shuffled_joins(spark):
+        return _linked(docs, id_col, text_col, words, percent, centre_rounds)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, centre_rounds: int) -> DataFrame:
     flat = docs.select(F.col(id_col).alias("id"), features(text_col, words, percent).alias("f")).select("id", "f.*")
     rows = saved(flat, "features")
     known = rows.where(F.col("node").isNotNull() & F.col("id").isNotNull())
@@ -333,8 +338,8 @@ def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if turn == 0:
             links.families(best)
         groups = links.apart()
-    links.check(links.by_difference(groups))
-    links.check(links.across(links.apart()))
+    rest = links.by_difference(groups).unionByName(links.across(groups))
+    links.check(saved(links._new(rest), "pairs"), last=True)
     placed = reps.join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = saved(placed.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes")), "least-ids")
     final = saved(lookup(placed, least, "comp", "nodes").select("node", "component_id", "uses"), "node-components")
