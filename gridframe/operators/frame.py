@@ -48,7 +48,8 @@ class NdFrame:
     residual: tuple[str, ...] = ()
     per_row: tuple[tuple[str, str], ...] = ()  # volatile expressions and their names
     grid_axes: tuple[tuple[str, bool], ...] | None = None  # (axis, descending)
-    cells: str | None = None  # a column with the selected cells, once they are fixed
+    cells: str | None = None  # a column with the selected cells, once they are fixed,
+    cell_axes: tuple[str, ...] = ()  # and the grid that these number
     notes: tuple[str, ...] = field(default=("source",))
 
     # Making and describing
@@ -80,7 +81,7 @@ class NdFrame:
 
     def axes(self) -> list[str]:
         """The grid's axes."""
-        return target_axes(self._in_grid())
+        return list(self.cell_axes) if self.cells else target_axes(self._in_grid())
 
     # Operators on chunks
 
@@ -96,16 +97,21 @@ class NdFrame:
             used = (*out.used, *(c for c in columns if c not in out.used))
             axes = {a for c in columns for a in self.dims.get(c, ())}
             if out.cells:
-                out = replace(out, cells=None, df=out.df)._with_mask(out.cells)
-            if len(axes) == 1 and not is_volatile(p):
+                if is_volatile(p) or not axes <= set(out.cell_axes):
+                    raise NdPlanError(f"after a limit, {p} needs flat rows")
+                out = out._noted(f"filter {p}", used=used, df=_computed(out.df, {out.cells: out._tested(out.cells, out.cell_axes, [p])}))
+            elif len(axes) == 1 and not is_volatile(p):
                 out = out._noted(f"filter {p} on {min(axes)}", used=used, on_axis=(*out.on_axis, (min(axes), p)))
             else:
                 out = out._noted(f"filter {p}", used=used, residual=(*out.residual, p))
         return out
 
-    def _with_mask(self, cells: str) -> NdFrame:
-        """Fixed cells as a residual predicate, so that more can be filtered."""
-        return replace(self, residual=(*self.residual, f"array_contains({quoted(cells)}, __cell)"))
+    def _tested(self, cells: str, axes: Sequence[str], predicates: Sequence[str]) -> Column:
+        """Those of the cells for which the predicates are true."""
+        index = {a: cell_index("__cell", axes, a) for a in axes}
+        value = {c: f"get({quoted(c)}.values, cast({' + '.join([f'{index[a]} * {stride(c, a)}' for a in axes if a in self.dims[c]]) or '0'} AS int))" for c in self.dims}
+        test = " AND ".join(f"({rewritten(p, value)})" for p in predicates)
+        return F.expr(f"filter({quoted(cells)}, __cell -> {test})")
 
     def select(self, *columns: str | tuple[str, str]) -> NdFrame:
         """Columns by name, or ``(expression, name)``.
@@ -225,11 +231,8 @@ class NdFrame:
         if not self.residual:
             df = _computed(df, {"__selected": product})
         else:
-            index = {a: cell_index("__cell", axes, a) for a in axes}
-            value = {c: f"get({quoted(c)}.values, cast({' + '.join([f'{index[a]} * {stride(c, a)}' for a in axes if a in self.dims[c]]) or '0'} AS int))" for c in self.dims}
-            test = " AND ".join(f"({rewritten(p, value)})" for p in self.residual)
-            df = _computed(_computed(df, {"__selected": product}), {"__selected": F.expr(f"filter(__selected, __cell -> {test})")})
-        return replace(self, df=df, on_axis=(), residual=(), cells="__selected")
+            df = _computed(_computed(df, {"__selected": product}), {"__selected": self._tested("__selected", axes, self.residual)})
+        return replace(self, df=df, on_axis=(), residual=(), cells="__selected", cell_axes=tuple(axes))
 
     def selection(self) -> DataFrame:
         """Each chunk's scalars with ``kept`` cells, of ``total``, and the ``kind`` of its selection."""

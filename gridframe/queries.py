@@ -97,7 +97,9 @@ def _coarse(how: str) -> Callable[[SparkSession, str], DataFrame]:
         flat = coarse.to_df().withColumn("month_from", F.col("month_from").cast("int"))
         # The block's coordinate is reduced as well: its least is the same for all ways.
         offset = {"mean": 1, "min": 0, "max": 2, "first": 0}[how]
-        return flat.withColumns({"month_from": F.col("month_from") - offset, "nation": F.col("nation").cast("int")})
+        # A mean's last digits depend on the order of its sum.
+        revenue = F.round("revenue", 4) if how == "mean" else F.col("revenue")
+        return flat.withColumns({"month_from": F.col("month_from") - offset, "nation": F.col("nation").cast("int"), "revenue": revenue})
 
     return run
 
@@ -181,7 +183,7 @@ _TABLE: dict[str, tuple[_Query, str | None]] = {
     "coarsen_min": (_coarse("min"), _SALES + _BLOCKS.format("min(revenue)")),
     "coarsen_max": (_coarse("max"), _SALES + _BLOCKS.format("max(revenue)")),
     "coarsen_first": (_coarse("first"), _SALES + _BLOCKS.format("max(revenue) FILTER (WHERE (month % 100 - 1) % 3 = 0)")),
-    "coarsen_mean": (_coarse("mean"), _SALES + _BLOCKS.format("avg(revenue)")),
+    "coarsen_mean": (_coarse("mean"), _SALES + _BLOCKS.format("round(avg(revenue), 4)")),
     "regrid_union": (lambda s, d: regrid(_S(s, d).select("revenue")).cells.select("pos_month", "pos_nation", "pos_segment", "revenue"), _SALES + "SELECT dense_rank() OVER (ORDER BY month) - 1 AS pos_month, dense_rank() OVER (ORDER BY nation) - 1 AS pos_nation, dense_rank() OVER (ORDER BY segment) - 1 AS pos_segment, revenue FROM sales"),
     "regrid_sparse": (lambda s, d: regrid(_A(s, d).select("n")).dense().select("day", "etype", "n"), _ACTIVITY + "SELECT day, etype, n FROM (SELECT DISTINCT day FROM days) CROSS JOIN (SELECT DISTINCT etype FROM types) LEFT JOIN activity USING (day, etype)"),
     "regrid_descending": (lambda s, d: regrid(NdFrame.of(_A(s, d).df, grid_axes=[("day", True), "etype"]).select("n")).cells.select("pos_day", "pos_etype", "n"), _ACTIVITY + "SELECT dense_rank() OVER (ORDER BY day DESC) - 1 AS pos_day, dense_rank() OVER (ORDER BY etype) - 1 AS pos_etype, n FROM activity"),
