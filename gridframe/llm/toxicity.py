@@ -6,8 +6,9 @@ dictionary, and with the toxic one in front of the ordinary one.  The bytes that
 dictionary saves are the window's distance.  As the second dictionary holds all of the
 first, what is common in either kind of text saves nothing.
 
-Toxic text is mostly ordinary words, so the toxic dictionary holds ordinary pieces too.
-Those that ordinary training text holds more than rarely are cut out of it.  Where it
+Toxic text is mostly ordinary words, so the toxic dictionary is trained on those words of
+toxic texts that begin like few in ordinary texts.  Pieces that ordinary training text still
+holds more than rarely are cut out of it.  Where it
 still saves bytes in ordinary training text, that text is put into the ordinary
 dictionary, and the two are compared again, until (nearly) nothing is saved there.
 
@@ -21,6 +22,7 @@ texts of each class, chosen by a hash of the id.  Scoring covers every whole tex
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,14 +66,14 @@ class Model:
         self._plain = self._both = None
 
     def _compressor(self, content: bytes) -> zstandard.ZstdCompressor:
-        p = zstandard.ZstdCompressionParameters.from_level(self.level, source_size=256, dict_size=len(content), min_match=4, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False)
+        p = zstandard.ZstdCompressionParameters.from_level(self.level, source_size=256, dict_size=len(content), min_match=6, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
     def distances(self, some: list[bytes]) -> np.ndarray:
         if self._plain is None:
-            self._plain, self._both = self._compressor(self.ordinary), self._compressor(self.toxic + self.ordinary)
+            self._plain, self._both = self._compressor(self.ordinary), self._compressor(self.ordinary + self.toxic)
         plain, both = self._plain.compress, self._both.compress
         return np.fromiter((len(plain(x)) - len(both(x)) for x in some), np.int64, len(some))
 
@@ -96,11 +98,30 @@ def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b"".join(samples)[:size]
 
 
-def _own_pieces(content: bytes, others: list[bytes], most: int = 2) -> bytes:
-    """The words and parts of words in ``content`` that ``others`` hold at most ``most`` times."""
-    seen = b"".join(others)
-    pieces = dict.fromkeys(x for x in content.split(b" ") if len(x) >= 4)
-    return b" " + b" ".join(x for x in pieces if seen.count(x) <= most) + b" "
+def telling(toxic: list[str], ordinary: list[str], lengths: tuple[int, ...] = (4, 5, 6, 7, 8, 10), least: int = 6, ratio: float = 8.0) -> set[str]:
+    """Strings at the start of words that are ``ratio`` times as frequent among toxic texts as among ordinary ones.
+
+    Frequency counts texts, not occurrences; a string is in at least ``least`` toxic texts.
+    """
+    words = lambda text: {x for x in _SPACE.split(text.lower()) if x}
+    starts = lambda text: {w[:n] for w in words(text) for n in lengths if len(w) >= n}
+    here, there = Counter(x for t in toxic for x in starts(t)), Counter(x for t in ordinary for x in starts(t))
+    share = ratio * max(len(toxic), 1) / max(len(ordinary), 1)
+    return {x for x, n in here.items() if n >= least and n >= share * (there[x] + 1)}
+
+
+def _reduced(text: str, marks: set[str]) -> str:
+    """The words of a text that begin with one of the strings."""
+    lengths = {len(x) for x in marks}
+    return " ".join(w for w in _SPACE.split(text.lower()) if any(w[:n] in marks for n in lengths))
+
+
+def _own_pieces(content: bytes, marks: set[str]) -> bytes:
+    """The longest telling string that each word in a dictionary's content begins with, the others left out."""
+    words = dict.fromkeys(x for x in content.decode(errors="ignore").split(" "))
+    lengths = sorted({len(x) for x in marks}, reverse=True)
+    found = (next((w[:n] for n in lengths if w[:n] in marks), None) for w in words)
+    return "".join(f" {x}" for x in dict.fromkeys(found) if x).encode() + b" "
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -130,10 +151,12 @@ def fit(labelled: pd.DataFrame, *, words: int = 20, level: int = 6, toxic_bytes:
     for c in (0, 1):
         turn[y == c] = np.arange((y == c).sum())
     first = turn % 3 != 2
-    toxic = [w for t, c, f in zip(texts, y, first, strict=True) if f and c == 1 for w in windows(t, 12)]
+    toxic = [t for t, c, f in zip(texts, y, first, strict=True) if f and c == 1]
     ordinary = [t for t, c, f in zip(texts, y, first, strict=True) if f and c == 0]
+    marks = telling(toxic, ordinary)
+    toxic = [w for t in toxic for w in windows(_reduced(t, marks) if marks else t, 12)]
     samples = [w for t in ordinary for w in windows(t, 12)]
-    model = Model(_dictionary(ordinary_bytes, samples, 64, 8), _own_pieces(_dictionary(toxic_bytes, toxic, 16, 6), samples), words, level)
+    model = Model(_dictionary(ordinary_bytes, samples, 64, 8), _own_pieces(_dictionary(toxic_bytes, toxic, 16, 6), marks), words, level)
     common = [w for t in ordinary for w in windows(t, words)]
     for _ in range(rounds):
         d = model.distances(common)

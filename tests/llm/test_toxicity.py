@@ -5,7 +5,7 @@ import pytest
 from gridframe.llm import queries, toxicity
 from gridframe.llm.queries import F
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"  # smaller tables have too few toxic labels to learn from
 
 
 @pytest.fixture(scope="module")
