@@ -47,7 +47,7 @@ def joined(spark, rows, words, percent):
     return sorted(map(tuple, out.collect()))
 
 
-@pytest.mark.parametrize(("words", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (3, 90, 3)])
+@pytest.mark.parametrize(("words", "percent", "seed"), [(4, 85, 1), (5, 80, 2)])
 def test_near_copies(spark, words, percent, seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]

@@ -42,8 +42,3 @@ def test_stages(spark, sf):
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     tokenizer.encode_special_tokens = True
     assert sorted(map(tuple, seen[5].collect()), key=lambda r: r[1]) == expected(rows[4], tokenizer)
-
-
-def test_only_the_clean_documents_stay(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 0 and "doc_id" in out.columns
