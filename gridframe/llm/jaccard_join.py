@@ -102,9 +102,9 @@ def _scheme_signatures(flat: np.ndarray, owner: np.ndarray, docs: np.ndarray, sc
         live = np.flatnonzero(open_)
         if not live.size:
             break
-        slot = np.full(int(docs.max()) + 1, -1)
+        slot = np.full(int(owner.max()) + 1, -1)
         slot[docs[live]] = np.arange(len(live))
-        mine = slot[owner] if seed else np.where(owner < len(slot), slot[np.minimum(owner, len(slot) - 1)], -1)
+        mine = slot[owner]
         inside = mine >= 0
         h, mine = flat[inside], mine[inside]
         p = parts[live].astype(np.uint64)
@@ -276,7 +276,7 @@ class _Links:
         self.family = saved(own.join(above, "centre", "left").select("node", F.coalesce("above", "centre").alias("centre")), "families")
 
     def by_difference(self, groups: DataFrame) -> DataFrame:
-        """Pairs with one centre and in different components that can link, by their differences from it."""
+        """Pairs of a family, its centre included, in different components that can link, by their differences from the centre."""
         nodes = saved(groups.select("node", "comp").distinct().join(self.family, "node"), "apart-nodes")
         uses = saved(nodes.groupBy("centre").agg(F.count("*").alias("uses")), "centre-uses")
         middle = saved(self.sets.select(F.col("node").alias("centre"), F.col("set").alias("c_set")).join(uses, "centre"), "centre-sets")
@@ -293,7 +293,11 @@ class _Links:
         prefix = lambda other: F.slice("diff", F.lit(1), F.greatest(F.size("diff") - share(other) + 1, F.lit(0)).cast("int"))
         far = bounded.where("far").select("centre", F.col("node").alias("a"), F.col("comp").alias("c_a"), F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a"), F.explode(prefix("any_least")).alias("element"))
         near = bounded.select("centre", F.col("node").alias("b"), F.col("comp").alias("c_b"), "n_b", "s_b", F.explode(prefix("far_least")).alias("element"))
-        return far.join(near, ["centre", "element"]).where((F.col("c_a") != F.col("c_b")) & self._close()).select("a", "b")
+        both = far.join(near, ["centre", "element"]).where((F.col("c_a") != F.col("c_b")) & self._close()).select("a", "b")
+        # A family's centre may be its first centre's own, which the node was not checked with.
+        heads = self.comps.select(F.col("node").alias("centre"), F.col("comp").alias("c_centre"))
+        to_centre = differ.where(~F.col("far")).select("node", "comp", "centre").join(heads, "centre").where("comp <> c_centre")
+        return both.unionByName(to_centre.select(F.col("node").alias("a"), F.col("centre").alias("b")))
 
     def across(self, groups: DataFrame) -> DataFrame:
         """Pairs of a group's members in different components and with different centres."""

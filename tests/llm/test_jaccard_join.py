@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from gridframe.llm import jaccard_join
@@ -77,6 +78,44 @@ def test_large_group_of_near_copies(spark):
     assert joined(spark, data, 4, 85) == brute(data, 4, 85)
 
 
+def family(seed):
+    """Copies that insert and delete words, so that their sizes span several bands."""
+    rng = random.Random(seed)
+    base = [f"f{seed}w{i}" for i in range(rng.choice([22, 30, 40, 60, 80, 100]))]
+
+    def edit(words, times):
+        words = list(words)
+        for _ in range(times):
+            at, n = rng.randrange(len(words)), rng.randrange(1, 5)
+            if rng.random() < 0.25 and len(words) > 15:
+                del words[at : at + n]
+            else:
+                words[at:at] = [f"f{seed}x{rng.randrange(10**6)}" for _ in range(n)]
+        return words
+
+    cores = [base]
+    for _ in range(rng.randrange(3)):
+        cores.append(edit(base, 1))
+    hubs = [edit(rng.choice(cores), rng.choice([1, 2])) for _ in range(rng.randrange(1, 4))]
+    leaves = [edit(rng.choice(cores + hubs), rng.choice([1, 2, 3])) for _ in range(rng.randrange(2, 10))]
+    return cores + hubs + leaves
+
+
+def test_links_to_the_centre_of_a_family(spark):
+    # In these, a node's only link leads to the centre of the centre it was checked with.
+    rows = [x for seed in (349, 2787, 2908) for x in family(seed)]
+    data = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    assert joined(spark, data, 4, 85) == brute(data, 4, 85)
+
+
+def test_features_of_a_batch_that_ends_outside_a_scheme():
+    # A last text that takes no part in a scheme below, in which others have many empty partitions.
+    for seed in (1590, 2436):
+        texts = [" ".join(x) for x in family(seed)]
+        run = lambda some: jaccard_join._features(pa.array(some), 5, jaccard_join.Bands(80)).to_pylist()
+        assert [sorted(x["signatures"]) for x in run(texts)] == [sorted(run([x])[0]["signatures"]) for x in texts]
+
+
 def test_edges(spark):
     long = " ".join(f"t{i * i % 7919}" for i in range(20_000))
     data = [(9, None), (8, ""), (7, " \t\n"), (6, "One two"), (5, "one  TWO"), (4, "one two three four"), (3, "ONE two three four"), (2, long), (1, long + " more"), (10, "Ä b c d"), (11, "ä b c d")]
