@@ -1,19 +1,20 @@
 """Toxicity by compression distance, with zstandard dictionaries.
 
-Two dictionaries are trained, one on toxic text and one on ordinary text.  A text is cut
+Dictionaries are trained on toxic text and on ordinary text.  A text is cut
 into windows of words, and each window is compressed twice: with the ordinary
 dictionary, and with the toxic one in front of the ordinary one.  The bytes that the toxic
 dictionary saves are the window's distance.  As the second dictionary holds all of the
 first, what is common in either kind of text saves nothing.
 
-Toxic text is mostly ordinary words, so the toxic dictionary is trained on those words of
-toxic texts that begin like few in ordinary texts.  Pieces that ordinary training text still
-holds more than rarely are cut out of it.  Where it
-still saves bytes in ordinary training text, that text is put into the ordinary
-dictionary, and the two are compared again, until (nearly) nothing is saved there.
+There are two toxic dictionaries, each with an ordinary one of its own.  One is trained on
+whole windows of toxic texts and keeps its content.  As toxic text is mostly ordinary words,
+the other is trained on those words of toxic texts that begin like few in ordinary texts, and
+keeps of each the part that tells.  Where either still saves bytes in ordinary training
+text, that text is put into its ordinary dictionary, and the two are compared again, until
+(nearly) nothing is saved there or the rounds are over.
 
-A text's features (its largest distances, how many windows reach which distance, and its
-length) become a probability by logistic regression on the training labels.
+A text's features (its largest distances, and how many windows reach which distance, by either
+dictionary, and its length) become a probability by logistic regression on the training labels.
 
 Only fitting sees labels, and works on a bounded sample: at most ``most_rows`` labelled
 texts of each class, chosen by a hash of the id.  Scoring covers every whole text.
@@ -44,16 +45,12 @@ def windows(text: str, words: int) -> list[bytes]:
 
 
 @dataclass
-class Model:
-    """Both dictionaries' contents and the calibration."""
+class Pair:
+    """An ordinary and a toxic dictionary's content."""
 
     ordinary: bytes
     toxic: bytes
-    words: int
     level: int
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    weights: np.ndarray | None = None
 
     def __post_init__(self):
         self._plain = self._both = None
@@ -77,13 +74,30 @@ class Model:
         plain, both = self._plain.compress, self._both.compress
         return np.fromiter((len(plain(x)) - len(both(x)) for x in some), np.int64, len(some))
 
+
+@dataclass
+class Model:
+    """The pairs of dictionaries and the calibration."""
+
+    pairs: list[Pair]
+    words: int
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    weights: np.ndarray | None = None
+
+    @property
+    def toxic(self) -> list[bytes]:
+        return [p.toxic for p in self.pairs]
+
     def features(self, text: str | None) -> np.ndarray:
-        d = self.distances(windows(text or "", self.words))
-        if not d.size:
-            d = np.zeros(1, np.int64)
-        top = np.sort(np.maximum(d, 0))[::-1][:3]
-        counts = np.array([(d >= s).sum() for s in _STEPS])
-        return np.r_[top[0], top.mean(), np.minimum(counts, 5), counts > 0, np.log1p(len(d)), np.log1p(counts[2]) / np.log1p(len(d) + 1)]
+        some = windows(text or "", self.words)
+        out = [np.log1p([max(len(some), 1)])]
+        for pair in self.pairs:
+            d = pair.distances(some) if some else np.zeros(1, np.int64)
+            top = np.sort(np.maximum(d, 0))[::-1][:3]
+            counts = np.array([(d >= s).sum() for s in _STEPS])
+            out.append(np.r_[top[0], top.mean(), np.minimum(counts, 5), counts > 0, np.log1p(counts[2]) / np.log1p(len(d) + 1)])
+        return np.concatenate(out)
 
     def score(self, text: str | None) -> float:
         x = (self.features(text) - self.mean) / self.scale
@@ -138,7 +152,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(labelled: pd.DataFrame, *, words: int = 20, level: int = 6, toxic_bytes: int = 8192, ordinary_bytes: int = 64 << 10, rounds: int = 4) -> Model:
+def _set_apart(pair: Pair, common: list[bytes], rounds: int) -> Pair:
+    """Puts the ordinary windows in which the toxic dictionary saves bytes into the ordinary one."""
+    for _ in range(rounds):
+        d = pair.distances(common)
+        hard = [common[i] for i in np.argsort(-d, kind="stable")[:1500] if d[i] >= 2]
+        if not hard:
+            break
+        pair = Pair(b"".join(hard) + pair.ordinary, pair.toxic, pair.level)
+    return pair
+
+
+def fit(labelled: pd.DataFrame, *, words: int = 20, level: int = 6, toxic_bytes: int = 8192, ordinary_bytes: int = 64 << 10, rounds: int = 4, kinds: tuple[str, ...] = ("whole", "telling")) -> Model:
     """Fits a model to ``text`` and ``label`` (1: toxic).
 
     The rows are halved by turns: one half trains the dictionaries, and the calibration is
@@ -154,16 +179,14 @@ def fit(labelled: pd.DataFrame, *, words: int = 20, level: int = 6, toxic_bytes:
     toxic = [t for t, c, f in zip(texts, y, first, strict=True) if f and c == 1]
     ordinary = [t for t, c, f in zip(texts, y, first, strict=True) if f and c == 0]
     marks = telling(toxic, ordinary)
-    toxic = [w for t in toxic for w in windows(_reduced(t, marks) if marks else t, 12)]
-    samples = [w for t in ordinary for w in windows(t, 12)]
-    model = Model(_dictionary(ordinary_bytes, samples, 64, 8), _own_pieces(_dictionary(toxic_bytes, toxic, 16, 6), marks), words, level)
+    ordinary_start = _dictionary(ordinary_bytes, [w for t in ordinary for w in windows(t, 12)], 64, 8)
+    contents = []
+    if "whole" in kinds or not marks:
+        contents.append(_dictionary(toxic_bytes, [w for t in toxic for w in windows(t, 12)], 16, 6))
+    if "telling" in kinds and marks:
+        contents.append(_own_pieces(_dictionary(toxic_bytes, [w for t in toxic for w in windows(_reduced(t, marks), 12)], 16, 6), marks))
     common = [w for t in ordinary for w in windows(t, words)]
-    for _ in range(rounds):
-        d = model.distances(common)
-        hard = [common[i] for i in np.argsort(-d, kind="stable")[:1500] if d[i] >= 2]
-        if not hard:
-            break
-        model = Model(b"".join(hard) + model.ordinary, model.toxic, words, level)
+    model = Model([_set_apart(Pair(ordinary_start, x, level), common, rounds) for x in contents], words)
     rest = np.flatnonzero(~first)
     x = np.array([model.features(texts[i]) for i in rest]) if len(rest) else np.zeros((0, len(model.features(""))))
     model.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])

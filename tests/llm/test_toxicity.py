@@ -1,5 +1,8 @@
 """Toxicity: accuracy on held-out labels, and edge rows."""
 
+import random
+
+import pandas as pd
 import pytest
 
 from gridframe.llm import queries, toxicity
@@ -52,3 +55,21 @@ def test_without_labels_or_with_one_class(spark):
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
     assert all(r["score"] < 0.01 for r in toxicity.score(docs, toxicity.train(docs, none)).collect())
     assert all(r["score"] > 0.99 for r in toxicity.score(docs, toxicity.train(docs, one)).collect())
+
+
+def test_phrases_of_ordinary_words():
+    rng = random.Random(4)
+    phrase = "go on and see if we do it to you or to him as a big red hat is not so far off".split()
+    filler = [f"{a}{b}" for a in "bcdfgklmnp" for b in ("at", "en", "ip", "ox", "um")]
+
+    def text(toxic):
+        some = list(phrase)
+        if not toxic:
+            rng.shuffle(some)
+        before, after = (rng.choices(filler, k=rng.randrange(5, 40)) for _ in "ab")
+        return " ".join([*before, *some, *after])
+
+    rows = pd.DataFrame([(i, text(i % 2), i % 2) for i in range(300)], columns=["id", "text", "label"])
+    model = toxicity.fit(rows[:200])
+    scores = [model.score(x) for x in rows["text"][200:]]
+    assert sum(a > b for a in scores[1::2] for b in scores[0::2]) > 0.8 * 50 * 50
