@@ -27,6 +27,8 @@ from ._words import ALNUM, hashed_words
 BLOCK_BYTES = 32 << 20
 #: Bytes of training text in one suffix array.
 SHARD_BYTES = 8 << 20
+#: Matches that are followed at once, about.
+MOST_FOLLOWED = 1 << 20
 
 _RESULT = "struct<n_words: long, n_hit: long, items: array<string>, longest: long, longest_at: long, longest_item: string, spans: array<struct<start: long, stop: long>>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -58,6 +60,8 @@ class Windows:
         packed = np.ascontiguousarray(rows).view([("", np.uint64)] * (window + 1)).ravel()
         _, first, group = np.unique(packed, return_index=True, return_inverse=True)
         self.first = first
+        # Every place of each distinct window, for following matches.
+        self.places, self.place_from = np.argsort(group, kind="stable"), np.r_[0, np.cumsum(np.bincount(group, minlength=len(first)))]
         order = np.lexsort((self.owner, group))
         pairs = np.stack([group[order], self.owner[order]], 1) if len(order) else np.zeros((0, 2), np.int64)
         pairs = np.unique(pairs, axis=0)
@@ -105,6 +109,30 @@ def _bound(words: np.ndarray, order: np.ndarray, tests: Windows, after: bool) ->
     return low
 
 
+def _best(words: np.ndarray, tests: Windows, place: np.ndarray, group: np.ndarray, before: list[np.ndarray], doc_of: np.ndarray) -> list[np.ndarray]:
+    """Place, length and window of each document's longest match, of ``before`` and of windows ``group`` at ``place``."""
+    uses = np.diff(tests.place_from)[group]
+    src = tests.places[np.repeat(tests.place_from[group], uses) + np.arange(int(uses.sum())) - np.repeat(np.cumsum(uses) - uses, uses)]
+    place = np.repeat(place, uses)
+    start = tests.start[src]
+    item_end, item_begin = tests.bounds[1:][tests.owner[src]], tests.bounds[:-1][tests.owner[src]]
+    inner = (start > item_begin) & (place > 0)
+    heads = ~(inner & (words[np.maximum(place - 1, 0)] == tests.words[np.maximum(start - 1, 0)]))
+    place, start, item_end, src = place[heads], start[heads], item_end[heads], src[heads]
+    length = tests.length[src].copy()
+    live = np.arange(len(place))
+    while live.size:
+        a, b = place[live] + length[live], start[live] + length[live]
+        more = (b < item_end[live]) & (a < len(words))
+        live, a, b = live[more], a[more], b[more]
+        live = live[words[a] == tests.words[b]]
+        length[live] += 1
+    place, length, src = (np.r_[x, y] for x, y in zip(before, (place, length, src), strict=True))
+    order = np.lexsort((src, place, -length, doc_of[place]))
+    order = order[np.unique(doc_of[place[order]], return_index=True)[1]]
+    return [place[order], length[order], src[order]]
+
+
 def _search(texts: pa.Array, tests: Windows, window: int, before: pa.Array | None) -> pa.Array:
     """Scores one shard of texts."""
     hashes, bounds = hashed_words(texts, ALNUM)
@@ -130,24 +158,14 @@ def _search(texts: pa.Array, tests: Windows, window: int, before: pa.Array | Non
             np.add.at(cover, place + tests.length[src], -1)
             for d, g in np.unique(np.stack([doc_of[place], group], 1), axis=0):
                 items[d].update(tests.owners[tests.owner_from[g] : tests.owner_from[g + 1]])
-            # Follow the matches that nothing in front of them continues.
-            start = tests.start[src]
-            item_end, item_begin = tests.bounds[1:][tests.owner[src]], tests.bounds[:-1][tests.owner[src]]
-            inner = (start > item_begin) & (place > 0)
-            heads = ~(inner & (words[np.maximum(place - 1, 0)] == tests.words[np.maximum(start - 1, 0)]))
-            place, start, item_end, src = place[heads], start[heads], item_end[heads], src[heads]
-            length = tests.length[src].copy()
-            live = np.arange(len(place))
-            while live.size:
-                a, b = place[live] + length[live], start[live] + length[live]
-                more = (b < item_end[live]) & (a < len(words))
-                live, a, b = live[more], a[more], b[more]
-                live = live[words[a] == tests.words[b]]
-                length[live] += 1
-            best = np.lexsort((place, -length, doc_of[place]))
-            docs, at = np.unique(doc_of[place[best]], return_index=True)
-            longest[docs], longest_at[docs] = length[best[at]], (place - begins[doc_of[place]])[best[at]]
-            longest_item[docs] = tests.owner[src[best[at]]]
+            # Follow the matches at every place of their window; those that a match in front of them continues are skipped.
+            best = [np.zeros(0, np.int64)] * 3
+            uses = np.diff(tests.place_from)[group]
+            step = np.r_[0, np.flatnonzero(np.diff(np.cumsum(uses) // MOST_FOLLOWED)) + 1, len(group)]
+            for a, b in zip(step[:-1], step[1:], strict=True):
+                best = _best(words, tests, place[a:b], group[a:b], best, doc_of)
+            docs = doc_of[best[0]]
+            longest[docs], longest_at[docs], longest_item[docs] = best[1], best[0] - begins[docs], tests.owner[best[2]]
     names = [sorted({tests.items[i] for i in x if tests.items[i] is not None}) for x in items]
     best_item = [tests.items[i] if i >= 0 else None for i in longest_item]
     if before is not None:

@@ -53,6 +53,19 @@ def test_brute_force(spark):
         assert scored(spark, DOCS, ITEMS, window) == brute(DOCS, ITEMS, window), window
 
 
+def test_items_that_share_a_passage(spark, monkeypatch):
+    items = [("A", "a b c d"), ("B", "a b c e f g"), ("C", "x y z a b c e h x y z a b c e f q")]
+    docs = [(1, "a b c e f g"), (2, "x y z a b c e f q"), (3, "b c e f g"), (4, "a b c d a b c e f g")]
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(decontaminate, "MOST_FOLLOWED", most, raising=False)
+        assert scored(spark, docs, items, 3) == brute(docs, items, 3)
+    import pyarrow as pa
+
+    tests = decontaminate.Windows([x for x, _ in items], pa.array([x for _, x in items]), 3)
+    found = decontaminate._search(pa.array([x for _, x in docs]), tests, 3, None).to_pylist()
+    assert [(x["longest"], x["longest_at"], x["longest_item"]) for x in found] == [(6, 0, "B"), (9, 0, "C"), (5, 0, "B"), (6, 4, "B")]
+
+
 def test_several_blocks_and_shards(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 60)
