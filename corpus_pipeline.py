@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the mix as token ids and reads the files back."""
-    return token_output.tokenize_and_read(docs, tokenizer_path())
+    return token_output.tokenize_and_read(docs, tokenizer_path(), added_tokens=True)
 
 
 STAGES = [

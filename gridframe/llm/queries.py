@@ -35,7 +35,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.tokenize_and_read(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_output.tokenize_and_read(_table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ then looks it up, in any of its tasks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -126,18 +127,22 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes columns of whole texts to one array of ids and the number of ids of each."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, added_tokens: bool = False):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         kind = json.loads(tokenizer_json)
         split = kind.get("pre_tokenizer") or {}
         #: Whether a word is one token of the pre-tokenizer, so that the model alone can encode it.
         self.plain = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not kind["model"].get("ignore_merges")
         self.letters = _byte_letters()
+        #: Texts with an added token are encoded whole: what stands around it decides how it is found.
+        added = [x["content"] for x in kind.get("added_tokens") or [] if added_tokens and x["content"]]
+        plain_added = all(not x.get("normalized") or not kind.get("normalizer") for x in kind.get("added_tokens") or [])
+        self.added = (re.compile("|".join(map(re.escape, added))) if plain_added else re.compile("")) if added else None
         self._forget()
 
     def _forget(self) -> None:
@@ -177,6 +182,24 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pa.array(pc.fill_null(texts.cast(pa.large_string()), ""))
+        if self.added is None:
+            return self._in_pieces(texts)
+        marked = np.flatnonzero(pc.match_substring_regex(texts, self.added.pattern).to_numpy(zero_copy_only=False))
+        if not marked.size:
+            return self._in_pieces(texts)
+        plain = np.ones(len(texts), bool)
+        plain[marked] = False
+        ids, some = self._in_pieces(pc.if_else(pa.array(plain), texts, pa.scalar("", pa.large_string())))
+        sizes, parts, at = some.copy(), [], 0
+        ends = np.cumsum(some)
+        for i in marked:
+            # One text at a time; the others are empty here.
+            own = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
+            parts += [ids[at : ends[i]], own]
+            at, sizes[i] = ends[i], len(own)
+        return np.concatenate([*parts, ids[at:]]), sizes
+
+    def _in_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if not len(texts) or offsets[-1] == offsets[0]:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
@@ -193,24 +216,25 @@ class Encoder:
         return out, np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, bool], Encoder] = {}
 
 
-def _encoder(tokenizer_json: str) -> Encoder:
+def _encoder(tokenizer_json: str, added_tokens: bool) -> Encoder:
     """This worker's encoder; what it remembers helps its later tasks."""
-    key = zlib.crc32(tokenizer_json.encode())
+    key = zlib.crc32(tokenizer_json.encode()), added_tokens
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json)
+        _encoders[key] = Encoder(tokenizer_json, added_tokens)
     return _encoders[key]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 16, kind: str = "byte", level: int = 3) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_ids: int = 1 << 16, kind: str = "byte", level: int = 3, added_tokens: bool = False) -> None:
     """Encodes the whole texts in ascending order of their ids and writes the format above to ``path``.
 
     Null texts count as empty and have only the end id.  Rows without an id come first; rows
     with the same id follow each other, ordered by a digest of their text.  An empty table
-    writes an empty table.  Columns other than the two are not read.
+    writes an empty table.  Columns other than the two are not read.  With ``added_tokens``, what
+    a text holds of the tokenizer's added tokens is one id each, as by the library's default.
     """
     spark = docs.sparkSession
     ready_python(spark)
@@ -222,7 +246,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder, compressor = _encoder(sent.value), zstandard.ZstdCompressor(level=level)
+        encoder, compressor = _encoder(sent.value, added_tokens), zstandard.ZstdCompressor(level=level)
         waiting, held, docs_here, first, position, chunk = [], 0, [], 0, 0, 0
 
         def block(ids: np.ndarray, begun: list) -> pa.RecordBatch:

@@ -60,6 +60,16 @@ def test_pieces_encode_as_the_whole_text(text):
     assert ids.tolist() == [y for x in want for y in x]
 
 
+def test_added_tokens_encode_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["plain text, here", "ends <|endoftext|> here", None, "<|endoftext|><|endoftext|>", "a<|endoftext|>b c", "<|endof text|>", "", "last one <|endoftext|>", "more"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op3_token_output(spark, str(tmp_path)).collect()))
+    assert got == expected(rows, Tokenizer.from_file(tokenizer_path()))
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_edges(spark, tokenizer, kind, tmp_path):
     long = "long words and numbers 12345, again\n" * 4000
