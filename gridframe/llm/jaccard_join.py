@@ -353,7 +353,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
 
 
 def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are the smallest of their component; one row for each id."""
-    linked = linked_documents(docs, id_col=id_col, **options)
-    kept = linked.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    """The documents that are the smallest of their component; one row of it each.
+
+    Rows are known by id and text: different texts with one id are separate documents, and so
+    are texts without an id, which come after all others.
+    """
+    text_col = options.get("text_col", "text")
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie")))
+    linked = linked_documents(keyed, id_col="__key", **options)
+    kept = linked.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

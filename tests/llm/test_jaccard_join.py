@@ -132,6 +132,13 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [1]
 
 
+def test_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
+    rows = [(1, "a b c d"), (1, "p q r s"), (None, "k l m n"), (None, "k l m n"), (None, "A b c d"), (None, "t u v w"), (2, "p q r s"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in jaccard_join.keep_one_each(docs, words=4, percent=85).collect()), key=str)
+    assert kept == sorted([(1, "a b c d"), (1, "p q r s"), (None, "k l m n"), (None, "t u v w"), (3, ""), (4, None)], key=str)
+
+
 def test_empty_table(spark):
     assert joined(spark, [], 5, 80) == []
 
