@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import lookup, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of the edges ``a, b``; ``comp`` is its smallest node.
 
     Alternates large-star and small-star steps until nothing changes; both only hang
-    nodes on smaller neighbours, so the work stays in proportion to the edges even if one
-    node has most of them.  Each step is written out, so no lineage builds up.
+    nodes on smaller neighbours, so the work stays in proportion to the edges.  Nodes with more
+    than a share of all edges meet their least neighbour by a broadcast (see ``lookup``), so one
+    node may have most of the edges.  Each step is written out, so no lineage builds up.
+    Edges with a null end and loops play no part; without edges there are no nodes.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        least = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.count("*").alias("uses")), "least")
+        large = lookup(both, least, "a", "uses").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         large = saved(large, "large-star")
-        # Few edges lead down from a node by now.
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("least")), "a")
+        below = saved(large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("uses")), "below")
+        small = lookup(large, below, "a", "uses")
         small = small.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
         small = saved(small.where("a <> b").distinct(), "small-star")
         # Done when every node hangs on one smaller node that hangs on none.

@@ -95,18 +95,21 @@ def shuffled_joins(spark: SparkSession) -> Iterator[None]:
 MOST_HOT = 10_000
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", drop: bool = True) -> DataFrame:
     """Joins ``rows`` with a saved ``table`` that has one row per key, whatever the skew.
 
-    ``weight`` is a column of ``table`` with the number of ``rows`` that have the key.  Keys
-    with more than a share of 1 / MOST_HOT of all rows are broadcast: there cannot be
-    more than MOST_HOT of them.  For the others no task gets a large group.
+    ``weight`` is a column of ``table`` with the number of ``rows`` that have the key; the result
+    has it unless it is dropped.  Keys with more than a share of 1 / MOST_HOT of all rows are
+    broadcast: there cannot be more than MOST_HOT of them.  For the others no task gets a large group.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
     edge = max(1, total // MOST_HOT)
-    hot, cool = table.where(F.col(weight) > edge).drop(weight), table.where(F.col(weight) <= edge).drop(weight)
-    if not hot.take(1):
-        return rows.join(cool, key, how)
+    hot, cool = table.where(F.col(weight) > edge), table.where(F.col(weight) <= edge)
+    if drop:
+        hot, cool = hot.drop(weight), cool.drop(weight)
+    if total <= MOST_HOT or not hot.take(1):
+        # Without a key above the edge; or so few rows that their keys may be anything.
+        return rows.join(table.drop(weight) if drop else table, key, how)
     marks = hot.select(key)
     few = rows.join(F.broadcast(hot), key, "inner" if how == "left" else how)
     rest = rows.join(F.broadcast(marks), key, "left_anti")

@@ -4,16 +4,15 @@ Sizes are cut into bands ``[l, l / t]``.  Scheme ``j`` serves the pairs whose sm
 lies in band ``j``; a set takes part in the schemes of its own band and the one below.
 Two linked sets of a scheme differ in at most ``k`` elements, so with the feature domain
 cut into ``p > k`` partitions by hash at least ``p - k`` partitions hold the same elements
-in both.  A signature is the scheme, a partition and what the set has in it.
+in both.  A signature is the scheme, a partition and what the set has in it; all partitions
+are enumerated, however long the text.  Empty ones say nothing and give no signature: a set
+with ``e`` of them still shares ``p - k - e`` signatures with each set it links with.  If that is
+less than one, the set also gives signatures under further partitionings, and under the last
+one the empty partitions count too.
 
-*  With up to ``MOST_PARTS`` partitions all of them are enumerated.  Empty ones say
-   nothing and give no signature; that loses no pair in which one set has fewer than
-   ``p - k`` empty partitions.  A set with more also gives signatures under further
-   partitionings, and under the last one the empty partitions count too.
-*  With more partitions (long texts) the subset of the first ``MOST_PARTS`` is enumerated.
-   A link is lost if each of these differs; as the hash deals the at most ``k``
-   differences to more than ``1.2 k`` partitions, that has a probability under 1e-11 for
-   any pair, of the order of a clash of 64-bit hashes.
+As ``s = p - k - e`` signatures are shared and not just one, a set keeps its rarest signatures and
+leaves out the ``s - 1`` that most sets have: of the shared ones at least one stays in both.  So what
+many texts have in common gives no large groups, unless they are close to linking.
 
 Equal sets are one node from the start.  Candidates are checked exactly on the sets, after an
 exact lower bound on their difference from 512-bit parity sketches.  Groups that share a
@@ -28,6 +27,10 @@ signature are not expanded to pairs:
    enough to join on prefixes of these, rare elements first (what a node adds to ``c``
    before what it lacks).
 *  Only pairs with different centres and in different components are taken from the groups.
+
+A join on something that many rows can have (a signature, a centre, a node with many copies)
+broadcasts the few keys with more than a share of all rows; see ``_store.lookup``.  Pairs are turned so that
+``a`` is the node in more pairs: then ``b`` is in at most the square root of twice all pairs.
 """
 
 from __future__ import annotations
@@ -43,13 +46,14 @@ from ._components import components
 from ._store import lookup, ready_python, saved, shuffled_joins
 from ._words import NON_SPACE, hashed_words, mix
 
-MOST_PARTS = 56
-#: Further partitionings for sets with many empty partitions.
+#: Partitionings: the first, and further ones for sets with many empty partitions.
 SEEDS = 4
-_SHARD = 8 << 20
+_SHARD = 4 << 20
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-_FEATURES = "struct<n: long, node: long, sketch: array<long>, signatures: array<long>>"
-_ARROW = pa.struct([("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64()))])
+_FEATURES = "struct<n: long, node: long, sketch: array<long>, own: array<long>, below: array<long>, own_shared: int, below_shared: int>"
+_ARROW = pa.struct([
+    ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("below", pa.list_(pa.int64())), ("own_shared", pa.int32()), ("below_shared", pa.int32()),
+])
 
 
 class Bands:
@@ -93,41 +97,44 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def _scheme_signatures(flat: np.ndarray, owner: np.ndarray, docs: np.ndarray, scheme: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(document, signature) of documents ``docs`` in one scheme each; ``flat``: elements of ``owner``."""
-    found = []
+def _scheme_signatures(flat: np.ndarray, owner: np.ndarray, docs: np.ndarray, scheme: np.ndarray, bands: Bands, n_docs: int) -> tuple[pa.ListArray, np.ndarray]:
+    """For all ``n_docs`` the signatures of documents ``docs`` in one scheme each, and how many of them any linked set shares.
+
+    ``flat``: elements of ``owner``.
+    """
+    shared = np.ones(n_docs, np.int64)
     parts, k = bands.parts[scheme], bands.k[scheme]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     open_ = np.ones(len(docs), bool)
     for seed in range(SEEDS):
         live = np.flatnonzero(open_)
         if not live.size:
             break
-        slot = np.full(int(owner.max()) + 1, -1)
+        slot = np.full(n_docs, -1)
         slot[docs[live]] = np.arange(len(live))
         mine = slot[owner]
         inside = mine >= 0
         h, mine = flat[inside], mine[inside]
-        p = parts[live].astype(np.uint64)
+        p = parts[live]
         h = h if seed == 0 else mix(h + np.uint64(seed))
-        part = (((h >> np.uint64(32)) * p[mine]) >> np.uint64(32)).astype(np.int64)
-        taken = np.minimum(parts[live], MOST_PARTS)
-        near = part < taken[mine]
-        h, mine, part = h[near], mine[near], part[near]
-        offset = np.r_[0, np.cumsum(taken)]
+        part = (((h >> np.uint64(32)) * p.astype(np.uint64)[mine]) >> np.uint64(32)).astype(np.int64)
+        offset = np.r_[0, np.cumsum(p)]
         cell = offset[mine] + part
         sums, count = np.zeros(offset[-1], np.uint64), np.bincount(cell, minlength=offset[-1])
         np.add.at(sums, cell, mix(h ^ np.uint64(0x5DEECE66D)))
-        of = np.repeat(np.arange(len(live)), taken)
+        of = np.repeat(np.arange(len(live)), p)
         which = np.arange(offset[-1]) - offset[of]
-        listed = parts[live] <= MOST_PARTS
-        empties = np.bincount(of[count == 0], minlength=len(live))
-        lucky = ~listed | (parts[live] - k[live] > empties)
-        last = seed == SEEDS - 1
-        use = np.where(listed[of], (count > 0) | last, count > 1)
-        tag = scheme[live][of].astype(np.uint64) * np.uint64(1 << 20) + which.astype(np.uint64) * np.uint64(8) + np.uint64(seed)
+        left = p - k[live] - np.bincount(of[count == 0], minlength=len(live))
+        if seed == 0:
+            shared[docs[live]] = np.maximum(left, 1)
+        use = (count > 0) | (seed == SEEDS - 1)
+        tag = scheme[live][of].astype(np.uint64) * np.uint64(1 << 40) + which.astype(np.uint64) * np.uint64(8) + np.uint64(seed)
         found.append((docs[live][of[use]], mix(sums[use] + mix(tag[use]))))
-        open_[live[lucky]] = False
-    return found
+        open_[live[left > 0]] = False
+    doc, signature = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    order = np.argsort(doc, kind="stable")
+    offsets = np.searchsorted(doc[order], np.arange(n_docs + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signature[order].view(np.int64))), shared
 
 
 def _features(texts: pa.Array, words: int, bands: Bands) -> pa.Array:
@@ -145,20 +152,13 @@ def _features(texts: pa.Array, words: int, bands: Bands) -> pa.Array:
     sketch = np.packbits(bits).view(np.int64)
     band = bands.of(n)
     docs = np.flatnonzero(full)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-    if docs.size:
-        found += _scheme_signatures(flat, owner, docs, band[docs], bands)
-        lower = docs[(band[docs] > 0)]
-        lower = lower[n[lower] <= bands.partner[band[lower] - 1]]
-        if lower.size:
-            found += _scheme_signatures(flat, owner, lower, band[lower] - 1, bands)
-    doc, signature = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-    order = np.argsort(doc, kind="stable")
-    offsets = np.searchsorted(doc[order], np.arange(len(sets) + 1)).astype(np.int32)
+    lower = docs[band[docs] > 0]
+    lower = lower[n[lower] <= bands.partner[band[lower] - 1]]
+    own, own_shared = _scheme_signatures(flat, owner, docs, band[docs], bands, len(sets))
+    below, below_shared = _scheme_signatures(flat, owner, lower, band[lower] - 1, bands, len(sets))
     return pa.StructArray.from_arrays([
-        pa.array(n), pa.array(node.view(np.int64), mask=~full),
-        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 8), pa.array(sketch)),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signature[order].view(np.int64))),
+        pa.array(n), pa.array(node.view(np.int64), mask=~full), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 8), pa.array(sketch)),
+        own, below, pa.array(own_shared, pa.int32()), pa.array(below_shared, pa.int32()),
     ], names=[f.name for f in _ARROW]).cast(_ARROW)
 
 
@@ -201,26 +201,36 @@ def hashed_set(text: str | Column, words: int) -> Column:
 class _Links:
     """Candidate groups, checked pairs and the components so far."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, reps: DataFrame, words: int, percent: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, words: int, percent: int):
         self.percent = percent
-        shared = Window.partitionBy("signature")
-        exploded = rows.where(F.col("node").isNotNull() & F.col("id").isNotNull()).select("node", F.explode("signatures").alias("signature"))
-        ranged = exploded.withColumn("lo", F.min("node").over(shared)).withColumn("hi", F.max("node").over(shared))
-        self.members = saved(ranged.where("lo < hi").select("signature", "node").distinct(), "members")
-        nodes = saved(self.members.groupBy("node").agg(F.count("*").alias("n_signatures")), "member-nodes")
+        schemes = F.array(F.struct(F.lit(0).alias("below"), F.col("f.own_shared").alias("shared"), F.col("f.own").alias("s")), F.struct(F.lit(1).alias("below"), F.col("f.below_shared").alias("shared"), F.col("f.below").alias("s")))
+        exploded = nodes.select("node", F.inline(schemes)).select("node", (2 * F.col("shared") + F.col("below")).alias("mark"), F.explode("s").alias("signature"))
+        counts = saved(exploded.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1"), "signatures")
+        common = lookup(exploded, counts, "signature", "size", drop=False)
+        # Of the signatures that any link must share, all but one may go: those of most nodes.
+        most = Window.partitionBy("node", F.col("mark") % 2).orderBy(F.desc("size"), "signature")
+        self.members = saved(common.withColumn("place", F.row_number().over(most)).where("place >= mark div 2").select("signature", "node"), "members")
+        own = saved(self.members.select("node").distinct(), "member-nodes")
+        about = saved(nodes.select("node", "rep", "f.n", "f.sketch").join(own, "node", "left_semi"), "sketches")
+        self.sketches = about.select("node", "n", "sketch")
         # One document of each node in question gives its set.
-        wanted = saved(reps.join(nodes, "node", "left_semi").select("rep", "node"), "wanted")
         texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-        found = texts.join(wanted, "rep").select("node", hashed_set("text", words).alias("s")).where(F.col("node") == F.col("s.node"))
+        found = texts.join(about.select("rep", "node"), "rep").select("node", hashed_set("text", words).alias("s")).where(F.col("node") == F.col("s.node"))
         self.sets = saved(found.select("node", F.col("s.set").alias("set")).dropDuplicates(["node"]), "sets")
-        sketches = rows.where(F.col("node").isNotNull()).join(wanted.select(F.col("rep").alias("id"), "node"), ["id", "node"]).select("node", "n", "sketch")
-        self.sketches = saved(sketches.dropDuplicates(["node"]), "sketches")
-        self.comps = saved(nodes.select("node", F.col("node").alias("comp")), "comps")
+        self.comps = saved(own.select("node", F.col("node").alias("comp")), "comps")
         self.tried: DataFrame | None = None
 
     def _new(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that were not checked, once each, turned so that ``a`` is the node in more of them."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs.join(self.tried, ["a", "b"], "left_anti") if self.tried is not None else pairs
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "new-pairs")
+        degree = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("uses")), "pair-degrees")
+        of = lambda x: degree.select(F.col("node").alias(x), F.col("uses").alias(f"uses_{x}"))
+        both = lookup(lookup(pairs, of("a"), "a", "uses_a", drop=False), of("b"), "b", "uses_b", drop=False)
+        turned = F.when(F.col("uses_a") >= F.col("uses_b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        return saved(both.select(turned.alias("t")).select("t.a", "t.b"), "pairs")
 
     def _sketched(self, rows: DataFrame, node: str, x: str) -> DataFrame:
         own = self.sketches.select(F.col("node").alias(node), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -233,8 +243,13 @@ class _Links:
 
     def check(self, pairs: DataFrame, last: bool = False) -> None:
         """Checks new pairs ``a, b`` exactly and unites the components of those that link."""
+        if not last:
+            done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            self.tried = done if self.tried is None else self.tried.unionByName(done)
         close = self._sketched(self._sketched(pairs, "a", "a"), "b", "b").where(self._close()).select("a", "b", "n_a", "n_b")
         close = saved(close, "close")
+        if not close.take(1):
+            return
         degree = saved(close.groupBy("a").agg(F.count("*").alias("uses")), "degrees")
         mine = saved(self.sets.withColumnRenamed("node", "a").join(degree, "a").withColumnRenamed("set", "set_a"), "sets-a")
         with_a = lookup(close, mine, "a", "uses")
@@ -242,8 +257,8 @@ class _Links:
         common = F.size(F.array_intersect("set_a", "set_b"))
         linked = both.where(100 * common >= self.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
         linked = saved(linked, "linked")
-        if not last:
-            self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if not linked.take(1):
+            return
         side = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
         merged = components(linked.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
         merged = saved(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "merged")
@@ -252,16 +267,17 @@ class _Links:
     def apart(self) -> DataFrame:
         """The members of groups that still hold several components."""
         placed = self.members.join(self.comps, "node")
-        several = placed.groupBy("signature").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("signature")
-        return saved(placed.join(several, "signature", "left_semi"), "apart")
+        several = placed.groupBy("signature").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("signature", "size")
+        return saved(lookup(placed, saved(several, "several"), "signature", "size"), "apart")
 
     def by_centre(self, groups: DataFrame) -> DataFrame:
         """``x, y``: for each node ``x`` the best centre ``y`` of its groups that it was not checked with."""
-        sizes = groups.groupBy("signature").agg(F.count("*").alias("size"))
-        score = saved(groups.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("score")), "scores")
+        sizes = saved(groups.groupBy("signature").agg(F.count("*").alias("size")), "group-sizes")
+        score = saved(lookup(groups, sizes, "signature", "size", drop=False).groupBy("node").agg(F.sum("size").alias("score")), "scores")
         scored = groups.join(score, "node")
-        centre = scored.groupBy("signature").agg(F.max(F.struct("score", "node", "comp")).alias("c")).select("signature", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
-        pairs = groups.join(centre, "signature").where("comp <> centre_comp").groupBy(F.col("node").alias("x"), F.col("centre").alias("y")).agg(F.count("*").alias("shared"))
+        centre = scored.groupBy("signature").agg(F.max(F.struct("score", "node", "comp")).alias("c"), F.count("*").alias("size")).select("signature", "size", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
+        placed = lookup(groups, saved(centre, "centres"), "signature", "size")
+        pairs = placed.where("comp <> centre_comp").groupBy(F.col("node").alias("x"), F.col("centre").alias("y")).agg(F.count("*").alias("shared"))
         if self.tried is not None:
             keyed = pairs.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y"))
             pairs = keyed.join(self.tried, ["a", "b"], "left_anti")
@@ -302,12 +318,13 @@ class _Links:
     def across(self, groups: DataFrame) -> DataFrame:
         """Pairs of a group's members in different components and with different centres."""
         counts = groups.groupBy("signature", "comp").agg(F.count("*").alias("n"))
-        major = saved(counts.groupBy("signature").agg(F.max(F.struct("n", "comp")).alias("m")).select("signature", F.col("m.comp").alias("major")), "majors")
+        major = saved(counts.groupBy("signature").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("signature", "size", F.col("m.comp").alias("major")), "majors")
         own = self.family.select("node", "centre")
-        placed = groups.join(own, "node", "left").withColumn("centre", F.coalesce("centre", "node")).join(major, "signature")
+        placed = groups.join(own, "node", "left").withColumn("centre", F.coalesce("centre", "node"))
+        placed = saved(lookup(placed, major, "signature", "size"), "in-groups")
         # Groups of one family are done.
-        several = placed.groupBy("signature").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).where("lo < hi").select("signature")
-        placed = saved(self._sketched(placed.join(several, "signature", "left_semi"), "node", "b"), "placed")
+        several = placed.groupBy("signature").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("signature", "size")
+        placed = saved(self._sketched(lookup(placed, saved(several, "several"), "signature", "size"), "node", "b"), "placed")
         minor = placed.where("comp <> major").select("signature", F.col("node").alias("x"), F.col("comp").alias("c_x"), F.col("centre").alias("f_x"), F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a"))
         other = F.expr("c_x <> comp AND f_x <> centre AND (comp = major OR x < node)")
         return minor.join(placed, "signature").where(other & self._close()).select(F.col("x").alias("a"), F.col("node").alias("b"))
@@ -330,25 +347,31 @@ def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, centre_rounds: int) -> DataFrame:
-    flat = docs.select(F.col(id_col).alias("id"), features(text_col, words, percent).alias("f")).select("id", "f.*")
-    rows = saved(flat, "features")
-    known = rows.where(F.col("node").isNotNull() & F.col("id").isNotNull())
-    reps = saved(known.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("uses")), "reps")
-    links = _Links(docs, id_col, text_col, rows, reps.drop("uses"), words, percent)
-    groups = links.members.join(links.comps, "node")
+    rows = saved(docs.select(F.col(id_col).alias("id"), features(text_col, words, percent).alias("f")), "features")
+    known = rows.where(F.col("f.node").isNotNull() & F.col("id").isNotNull())
+    # Equal sets have equal features.
+    nodes = known.groupBy(F.col("f.node").alias("node")).agg(F.min("id").alias("rep"), F.count("*").alias("uses"), F.first("f").alias("f"))
+    nodes = saved(nodes, "nodes")
+    links = _Links(docs, id_col, text_col, nodes, words, percent)
+    groups = saved(links.members.join(links.comps, "node"), "groups")
     for turn in range(max(centre_rounds, 1)):
-        best = links.by_centre(saved(groups, "groups"))
-        links.check(saved(links._new(best.select(F.col("x").alias("a"), F.col("y").alias("b"))), "pairs"))
+        best = links.by_centre(groups)
+        links.check(links._new(best.select(F.col("x").alias("a"), F.col("y").alias("b"))))
         if turn == 0:
             links.families(best)
         groups = links.apart()
-    rest = links.by_difference(groups).unionByName(links.across(groups))
-    links.check(saved(links._new(rest), "pairs"), last=True)
-    placed = reps.join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if not groups.take(1):
+            break
+    else:
+        rest = links.by_difference(groups).unionByName(links.across(groups))
+        links.check(links._new(rest), last=True)
+    placed = nodes.select("node", "rep", "uses").join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = saved(placed.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes")), "least-ids")
     final = saved(lookup(placed, least, "comp", "nodes").select("node", "component_id", "uses"), "node-components")
-    plain = rows.where(F.col("node").isNull() | F.col("id").isNull()).select("id", "n", "node", F.when(F.col("node").isNull(), F.col("id")).alias("component_id"))
-    out = lookup(known.select("id", "n", "node"), final, "node", "uses").select("id", "n", "node", "component_id").unionByName(plain)
+    slim = rows.select("id", "f.n", "f.node")
+    plain = slim.where(F.col("node").isNull() | F.col("id").isNull()).withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")))
+    some = slim.where(F.col("node").isNotNull() & F.col("id").isNotNull())
+    out = lookup(some, final, "node", "uses").select("id", "n", "node", "component_id").unionByName(plain)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "component_id")
 
 
@@ -356,10 +379,12 @@ def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Data
     """The documents that are the smallest of their component; one row of it each.
 
     Rows are known by id and text: different texts with one id are separate documents, and so
-    are texts without an id, which come after all others.
+    are texts without an id, which come after all others.  Texts without words are linked with
+    nothing, so every row of them stays.
     """
     text_col = options.get("text_col", "text")
     keyed = docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie")))
     linked = linked_documents(keyed, id_col="__key", **options)
-    kept = linked.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    kept = linked.where(F.col("__key") == F.col("component_id")).select("__key", (F.col("n_shingles") == 0).alias("__none")).distinct()
+    each = F.when(F.col("__none"), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    return keyed.join(kept, "__key").withColumn("__each", each).dropDuplicates(["__key", "__each"]).select(*docs.columns)

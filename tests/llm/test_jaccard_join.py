@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from gridframe.llm import jaccard_join
+from gridframe.llm import _store, jaccard_join, queries
+from gridframe.llm._components import components
 from gridframe.llm.queries import op5_jaccard_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,13 +50,13 @@ def joined(spark, rows, words, percent):
     return sorted(map(tuple, out.collect()))
 
 
-@pytest.mark.parametrize(("words", "percent", "seed"), [(4, 85, 1), (5, 80, 2)])
+@pytest.mark.parametrize(("words", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (3, 90, 3)])
 def test_near_copies(spark, words, percent, seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
-    for _ in range(14):
-        base = rng.choices(vocabulary, k=rng.choice([3, 8, 20, 60, 150, 400]))
+    for i in range(18):
+        base = rng.choices(vocabulary, k=rng.choice([3, 8, 20, 60, 150, 400]) if i < 14 else 900 * (i - 13))
         rows.append(base)
         for _ in range(rng.randrange(9)):
             copy = list(rng.choice([base, rows[-1]]))
@@ -66,6 +68,41 @@ def test_near_copies(spark, words, percent, seed):
     assert joined(spark, data, words, percent) == brute(data, words, percent)
 
 
+def test_a_passage_that_most_texts_share(spark):
+    # Most share signatures with all others, but few are similar enough.
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(24)]
+    data = []
+    for i in range(900):
+        own = [f"o{rng.randrange(60)}" for _ in range(rng.choice([2, 4, 8, 16]))]
+        data.append((i, " ".join([*own[: len(own) // 2], *passage, *own[len(own) // 2 :]])))
+    assert joined(spark, data, 4, 85) == brute(data, 4, 85)
+
+
+def test_rarest_signatures_are_enough():
+    # Linked sets share a signature of those that each keeps, whatever the others are.
+    rng = random.Random(6)
+    bands = jaccard_join.Bands(80)
+    for _ in range(60):
+        base = rng.choices([f"w{i}" for i in range(10**4)], k=rng.choice([6, 12, 30, 90, 300, 1200]))
+        texts = [" ".join(base)]
+        for _ in range(20):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(copy) // 40)):
+                copy[rng.randrange(len(copy))] = "x"
+            texts.append(" ".join(copy))
+        rows = jaccard_join._features(pa.array(texts), 5, bands).to_pylist()
+        uses = Counter(s for r in rows for s in {*r["own"], *r["below"]})
+        rarest = lambda x, shared: set(sorted(x, key=lambda s: (uses[s], s))[: len(x) - shared + 1])
+        kept = [rarest(r["own"], r["own_shared"]) | rarest(r["below"], r["below_shared"]) for r in rows]
+        sets = [shingles(t, 5) for t in texts]
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    assert kept[i] & kept[j]
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(3000)}" for _ in range(120)]
@@ -113,7 +150,9 @@ def test_features_of_a_batch_that_ends_outside_a_scheme():
     for seed in (1590, 2436):
         texts = [" ".join(x) for x in family(seed)]
         run = lambda some: jaccard_join._features(pa.array(some), 5, jaccard_join.Bands(80)).to_pylist()
-        assert [sorted(x["signatures"]) for x in run(texts)] == [sorted(run([x])[0]["signatures"]) for x in texts]
+        alone = [run([x])[0] for x in texts]
+        for kind in ("own", "below"):
+            assert [sorted(x[kind]) for x in run(texts)] == [sorted(x[kind]) for x in alone]
 
 
 def test_edges(spark):
@@ -133,10 +172,10 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
 
 
 def test_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
-    rows = [(1, "a b c d"), (1, "p q r s"), (None, "k l m n"), (None, "k l m n"), (None, "A b c d"), (None, "t u v w"), (2, "p q r s"), (3, ""), (4, None)]
+    rows = [(1, "a b c d"), (1, "p q r s"), (None, "k l m n"), (None, "k l m n"), (None, "A b c d"), (None, "t u v w"), (2, "p q r s"), (3, ""), (3, ""), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((tuple(r) for r in jaccard_join.keep_one_each(docs, words=4, percent=85).collect()), key=str)
-    assert kept == sorted([(1, "a b c d"), (1, "p q r s"), (None, "k l m n"), (None, "t u v w"), (3, ""), (4, None)], key=str)
+    assert kept == sorted([(1, "a b c d"), (1, "p q r s"), (None, "k l m n"), (None, "t u v w"), (3, ""), (3, ""), (4, None)], key=str)
 
 
 def test_empty_table(spark):
@@ -147,3 +186,21 @@ def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in op5_jaccard_join(spark, sf).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute(rows, 4, 85)
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    edges = [(0, i) for i in range(1, 40)] + [(1000, i) for i in range(100, 140)] + [(i, i + 1) for i in range(200, 217)] + [(7, 7), (300, 301), (301, 300), (None, 5)]
+    monkeypatch.setattr(_store, "MOST_HOT", 4)
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(40)} | {i: 100 for i in [1000, *range(100, 140)]} | {i: 200 for i in range(200, 218)} | {300: 300, 301: 300}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lookup_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(_store, "MOST_HOT", 3)
+    rows = spark.createDataFrame([(i % 2 if i < 90 else i, i) for i in range(100)], "k long, i long")
+    table = _store.saved(rows.groupBy("k").count().withColumn("v", queries.F.col("k") * 10), "t")
+    for how in ("inner", "left"):
+        got = _store.lookup(rows, table, "k", "count", how)
+        assert got.columns == ["k", "i", "v"] and sorted((r["i"], r["v"]) for r in got.collect()) == [(i, 10 * (i % 2 if i < 90 else i)) for i in range(100)]
