@@ -31,7 +31,7 @@ def held_out(doc_id: str) -> Column:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out("doc_id")))
-    return toxicity.score(docs, model, threshold=0.3).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,19 @@
 """Toxicity by compression distance, with zstandard dictionaries.
 
-Dictionaries are trained on toxic text and on ordinary text.  A text is cut
+Dictionaries are trained on windows of toxic text and of ordinary text.  A text is cut
 into windows of words, and each window is compressed twice: with the ordinary
 dictionary, and with the toxic one in front of the ordinary one.  The bytes that the toxic
 dictionary saves are the window's distance.  As the second dictionary holds all of the
 first, what is common in either kind of text saves nothing.
 
-There are two toxic dictionaries, each with an ordinary one of its own.  One is trained on
-whole windows of toxic texts and keeps its content.  As toxic text is mostly ordinary words,
-the other is trained on those words of toxic texts that begin like few in ordinary texts, and
-keeps of each the part that tells.  Where either still saves bytes in ordinary training
-text, that text is put into its ordinary dictionary, and the two are compared again, until
-(nearly) nothing is saved there or the rounds are over.
+Toxic text is mostly ordinary words, so most of what is trained on it tells nothing.  The toxic
+texts are halved; a dictionary is trained on the raw windows of either half, and its content is
+tried on the other half and on ordinary texts, part by part: a part that saves bytes in several times as
+large a share of toxic texts is halved and its halves are tried, down to a few bytes, and
+what passes at the end is the toxic dictionary.  Only compressed lengths decide this.
 
-A text's features (its largest distances, and how many windows reach which distance, by either
-dictionary, and its length) become a probability by logistic regression on the training labels.
+A text's features (its largest distances, their sum, how many windows reach which distance, and
+its length) become a probability by logistic regression on the training labels.
 
 Only fitting sees labels, and works on a bounded sample: at most ``most_rows`` labelled
 texts of each class, chosen by a hash of the id.  Scoring covers every whole text.
@@ -23,13 +22,14 @@ texts of each class, chosen by a hash of the id.  Scoring covers every whole tex
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import ready_python
@@ -77,27 +77,20 @@ class Pair:
 
 @dataclass
 class Model:
-    """The pairs of dictionaries and the calibration."""
+    """The dictionaries and the calibration."""
 
-    pairs: list[Pair]
+    pair: Pair
     words: int
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
 
-    @property
-    def toxic(self) -> list[bytes]:
-        return [p.toxic for p in self.pairs]
-
     def features(self, text: str | None) -> np.ndarray:
         some = windows(text or "", self.words)
-        out = [np.log1p([max(len(some), 1)])]
-        for pair in self.pairs:
-            d = pair.distances(some) if some else np.zeros(1, np.int64)
-            top = np.sort(np.maximum(d, 0))[::-1][:3]
-            counts = np.array([(d >= s).sum() for s in _STEPS])
-            out.append(np.r_[top[0], top.mean(), np.minimum(counts, 5), counts > 0, np.log1p(counts[2]) / np.log1p(len(d) + 1)])
-        return np.concatenate(out)
+        d = self.pair.distances(some) if some else np.zeros(1, np.int64)
+        top = np.sort(np.maximum(d, 0))[::-1][:3]
+        counts = np.array([(d >= s).sum() for s in _STEPS])
+        return np.r_[np.log1p(max(len(some), 1)), top[0], top.mean(), np.log1p(d[d > 0].sum()), np.minimum(counts, 5), counts > 0, np.log1p(counts[2]) / np.log1p(len(d) + 1)]
 
     def score(self, text: str | None) -> float:
         x = (self.features(text) - self.mean) / self.scale
@@ -105,37 +98,108 @@ class Model:
 
 
 def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
-    """A trained dictionary's content; too little text to train on is the content itself."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:size]
-
-
-def telling(toxic: list[str], ordinary: list[str], lengths: tuple[int, ...] = (4, 5, 6, 7, 8, 10), least: int = 6, ratio: float = 8.0) -> set[str]:
-    """Strings at the start of words that are ``ratio`` times as frequent among toxic texts as among ordinary ones.
+    """A trained dictionary's content; too little text to train on is the content itself.
 
-    Frequency counts texts, not occurrences; a string is in at least ``least`` toxic texts.
+    The trainer stops early if segments of ``k`` bytes are short against how the text repeats; then longer
+    ones are tried.
     """
-    words = lambda text: {x for x in _SPACE.split(text.lower()) if x}
-    starts = lambda text: {w[:n] for w in words(text) for n in lengths if len(w) >= n}
-    here, there = Counter(x for t in toxic for x in starts(t)), Counter(x for t in ordinary for x in starts(t))
-    share = ratio * max(len(toxic), 1) / max(len(ordinary), 1)
-    return {x for x, n in here.items() if n >= least and n >= share * (there[x] + 1)}
+    best = b""
+    for longer in (1, 2, 4, 16):
+        try:
+            best = max(best, zstandard.train_dictionary(size, samples, k=k * longer, d=d).as_bytes(), key=len)
+        except zstandard.ZstdError:
+            pass
+        if len(best) >= size // 2:
+            return best
+    return best or b"".join(samples)[:size]
 
 
-def _reduced(text: str, marks: set[str]) -> str:
-    """The words of a text that begin with one of the strings."""
-    lengths = {len(x) for x in marks}
-    return " ".join(w for w in _SPACE.split(text.lower()) if any(w[:n] in marks for n in lengths))
+@dataclass
+class Proof:
+    """Windows of texts of both classes, to try parts of a dictionary on.
 
+    ``least``: a part must save bytes in so many toxic texts.  ``ratio``: and in so many times as large a
+    share of these as of ordinary ones, for one of the ``steps``, the bytes saved in a text.
+    """
 
-def _own_pieces(content: bytes, marks: set[str]) -> bytes:
-    """The longest telling string that each word in a dictionary's content begins with, the others left out."""
-    words = dict.fromkeys(x for x in content.decode(errors="ignore").split(" "))
-    lengths = sorted({len(x) for x in marks}, reverse=True)
-    found = (next((w[:n] for n in lengths if w[:n] in marks), None) for w in words)
-    return "".join(f" {x}" for x in dict.fromkeys(found) if x).encode() + b" "
+    ordinary: bytes
+    level: int
+    windows: list[bytes]
+    owner: np.ndarray
+    label: np.ndarray  # of each owner
+    plain: np.ndarray  # lengths with the ordinary dictionary
+    least: int = 5
+    ratio: float = 8.0
+    steps: tuple[int, ...] = (1, 2, 3, 5, 8)
+    small: int = 10
+    overlap: int = 6
+
+    @staticmethod
+    def of(toxic: list[str], ordinary: list[str], content: bytes, words: int, level: int) -> Proof:
+        each = [windows(t, words) for t in [*toxic, *ordinary]]
+        some = [w for x in each for w in x]
+        compress = Pair(content, b"", level)._compressor(content).compress
+        owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        return Proof(content, level, some, owner, np.r_[np.ones(len(toxic), int), np.zeros(len(ordinary), int)], np.fromiter((len(compress(w)) for w in some), np.int64, len(some)))
+
+    def parts(self, content: bytes) -> list[tuple[float, bytes]]:
+        """The parts that pass, with how many times as often they save bytes in toxic texts."""
+        toxic, found = self.label == 1, []
+        pair, todo = Pair(self.ordinary, b"", self.level), [(content, np.arange(len(self.windows)))]
+        while todo:
+            part, at = todo.pop()
+            compress = pair._compressor(self.ordinary + part).compress
+            saved = self.plain[at] - np.fromiter((len(compress(self.windows[i])) for i in at), np.int64, len(at))
+            at, saved = at[saved > 0], saved[saved > 0]
+            total = np.bincount(self.owner[at], weights=saved, minlength=len(self.label))
+            reach = [((total[toxic] >= s).sum(), (total[~toxic] >= s).sum()) for s in self.steps]
+            reach = [(t, o) for t, o in reach if t >= self.least]
+            if not reach:
+                continue
+            if len(part) <= self.small:
+                times = max(t / (o + 1) for t, o in reach) * max((~toxic).sum(), 1) / toxic.sum()
+                if times >= self.ratio:
+                    found.append((float(times), part))
+            else:
+                half = len(part) // 2
+                todo += [(part[: half + self.overlap // 2], at), (part[half - self.overlap // 2 :], at)]
+        return found
+
+
+def _in_turn(job: Callable, pieces: list[bytes]) -> list:
+    return [job(x) for x in pieces]
+
+
+def _on_spark(spark: SparkSession) -> Callable[[Callable, list[bytes]], list]:
+    """Runs a job on pieces in tasks; the results come in the pieces' order."""
+
+    def run(job: Callable, pieces: list[bytes]) -> list:
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for n, piece in zip(batch["n"], batch["piece"], strict=True):
+                    found = job(bytes(piece))
+                    yield pd.DataFrame({"n": [n] * len(found), "times": [x[0] for x in found], "part": [x[1] for x in found]})
+
+        table = spark.createDataFrame(list(enumerate(pieces)), "n int, piece binary").repartition(max(1, len(pieces) // 4))
+        rows = table.mapInPandas(some, "n int, times double, part binary").collect()
+        out: list[list] = [[] for _ in pieces]
+        for r in rows:
+            out[r["n"]].append((r["times"], bytes(r["part"])))
+        return out
+
+    return run
+
+
+def proven(toxic: list[str], ordinary: list[str], content: bytes, words: int, level: int, size: int, most: int, run: Callable) -> bytes:
+    """The toxic dictionary: the parts of dictionaries of either half that tell in the other one, best last."""
+    found: list[tuple[float, bytes]] = []
+    for half in (0, 1):
+        own = _dictionary(size, [w for t in toxic[half::2] for w in windows(t, 12)], 16, 6)
+        proof = Proof.of(toxic[1 - half :: 2][:most], ordinary[: 2 * most], content, words, level)
+        step = 256
+        for some in run(proof.parts, [own[i : i + step + proof.overlap] for i in range(0, len(own), step)]):
+            found += some
+    return b" ".join(x for _, x in sorted(set(found)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -152,23 +216,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _set_apart(pair: Pair, common: list[bytes], rounds: int) -> Pair:
-    """Puts the ordinary windows in which the toxic dictionary saves bytes into the ordinary one."""
-    for _ in range(rounds):
-        d = pair.distances(common)
-        hard = [common[i] for i in np.argsort(-d, kind="stable")[:1500] if d[i] >= 2]
-        if not hard:
-            break
-        pair = Pair(b"".join(hard) + pair.ordinary, pair.toxic, pair.level)
-    return pair
-
-
-def fit(labelled: pd.DataFrame, *, words: int = 20, level: int = 6, toxic_bytes: int = 8192, ordinary_bytes: int = 64 << 10, rounds: int = 4, kinds: tuple[str, ...] = ("whole", "telling")) -> Model:
+def fit(labelled: pd.DataFrame, *, words: int = 10, level: int = 6, toxic_bytes: int = 32 << 10, ordinary_bytes: int = 64 << 10, most_proof: int = 200, run: Callable = _in_turn) -> Model:
     """Fits a model to ``text`` and ``label`` (1: toxic).
 
-    The rows are halved by turns: one half trains the dictionaries, and the calibration is
-    fitted to the other half, which the dictionaries have not seen.  Without both classes
-    the score is the share of label 1.
+    Two thirds of the rows, by turns, train the dictionaries, and the calibration is
+    fitted to the last third, which the dictionaries have not seen.  Parts of the toxic dictionary are tried on at
+    most ``most_proof`` toxic and twice as many ordinary texts.  If no part passes, the whole
+    trained content stays.  Without both classes the score is the share of label 1.
     """
     labelled = labelled.sort_values("id", kind="stable").reset_index(drop=True)
     texts, y = labelled["text"].fillna("").tolist(), labelled["label"].to_numpy(np.float64)
@@ -178,15 +232,10 @@ def fit(labelled: pd.DataFrame, *, words: int = 20, level: int = 6, toxic_bytes:
     first = turn % 3 != 2
     toxic = [t for t, c, f in zip(texts, y, first, strict=True) if f and c == 1]
     ordinary = [t for t, c, f in zip(texts, y, first, strict=True) if f and c == 0]
-    marks = telling(toxic, ordinary)
-    ordinary_start = _dictionary(ordinary_bytes, [w for t in ordinary for w in windows(t, 12)], 64, 8)
-    contents = []
-    if "whole" in kinds or not marks:
-        contents.append(_dictionary(toxic_bytes, [w for t in toxic for w in windows(t, 12)], 16, 6))
-    if "telling" in kinds and marks:
-        contents.append(_own_pieces(_dictionary(toxic_bytes, [w for t in toxic for w in windows(_reduced(t, marks), 12)], 16, 6), marks))
-    common = [w for t in ordinary for w in windows(t, words)]
-    model = Model([_set_apart(Pair(ordinary_start, x, level), common, rounds) for x in contents], words)
+    start = _dictionary(ordinary_bytes, [w for t in ordinary for w in windows(t, 12)], 64, 8)
+    content = proven(toxic, ordinary, start, words, level, toxic_bytes, most_proof, run) if toxic and ordinary else b""
+    content = content or _dictionary(toxic_bytes, [w for t in toxic for w in windows(t, 12)], 16, 6)
+    model = Model(Pair(start, content, level), words)
     rest = np.flatnonzero(~first)
     x = np.array([model.features(texts[i]) for i in rest]) if len(rest) else np.zeros((0, len(model.features(""))))
     model.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
@@ -234,4 +283,5 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 1500, **options) -> Model:
     """Fits a model on a bounded sample of the labelled documents; see ``fit`` and ``sample``."""
-    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows), **options)
+    ready_python(docs.sparkSession)
+    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows), run=_on_spark(docs.sparkSession), **options)

@@ -35,7 +35,7 @@ def test_held_out_labels_are_not_learned_from(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("toxic", F.when(queries.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     fits = [toxicity.train(docs, x.where(~queries.held_out("doc_id"))) for x in (labels, turned)]
-    assert (fits[0].weights == fits[1].weights).all() and fits[0].toxic == fits[1].toxic
+    assert (fits[0].weights == fits[1].weights).all() and fits[0].pair.toxic == fits[1].pair.toxic
 
 
 def test_edges(spark):
