@@ -119,7 +119,8 @@ class Proof:
     """Windows of texts of both classes, to try parts of a dictionary on.
 
     ``least``: a part must save bytes in so many toxic texts.  ``ratio``: and in so many times as large a
-    share of these as of ordinary ones, for one of the ``steps``, the bytes saved in a text.
+    share of these (less one standard deviation of their number) as of ordinary ones, for one of the
+    ``steps``, the bytes saved in a text.
     """
 
     ordinary: bytes
@@ -128,8 +129,8 @@ class Proof:
     owner: np.ndarray
     label: np.ndarray  # of each owner
     plain: np.ndarray  # lengths with the ordinary dictionary
-    least: int = 5
-    ratio: float = 8.0
+    least: int = 6
+    ratio: float = 6.0
     steps: tuple[int, ...] = (1, 2, 3, 5, 8)
     small: int = 10
     overlap: int = 6
@@ -157,7 +158,7 @@ class Proof:
             if not reach:
                 continue
             if len(part) <= self.small:
-                times = max(t / (o + 1) for t, o in reach) * max((~toxic).sum(), 1) / toxic.sum()
+                times = max((t - t**0.5) / (o + 1) for t, o in reach) * max((~toxic).sum(), 1) / toxic.sum()
                 if times >= self.ratio:
                     found.append((float(times), part))
             else:
@@ -202,14 +203,14 @@ def proven(toxic: list[str], ordinary: list[str], content: bytes, words: int, le
     return b" ".join(x for _, x in sorted(set(found)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (first: the intercept) by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights (first: the intercept) by Newton's method; ``weight``: of each row."""
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
     penalty = np.diag(np.r_[1e-6, np.full(x.shape[1] - 1, ridge)])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -217,7 +218,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(labelled: pd.DataFrame, *, words: int = 10, level: int = 6, toxic_bytes: int = 32 << 10, ordinary_bytes: int = 64 << 10, most_proof: int = 200, run: Callable = _in_turn) -> Model:
-    """Fits a model to ``text`` and ``label`` (1: toxic).
+    """Fits a model to ``text`` and ``label`` (1: toxic); ``weight``: how many labelled rows a row stands for.
 
     Two thirds of the rows, by turns, train the dictionaries, and the calibration is
     fitted to the last third, which the dictionaries have not seen.  Parts of the toxic dictionary are tried on at
@@ -240,16 +241,20 @@ def fit(labelled: pd.DataFrame, *, words: int = 10, level: int = 6, toxic_bytes:
     x = np.array([model.features(texts[i]) for i in rest]) if len(rest) else np.zeros((0, len(model.features(""))))
     model.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
     model.scale = np.where(x.std(0) > 1e-9, x.std(0), 1.0) if len(x) else np.ones(x.shape[1])
-    share = y.mean() if len(y) else 0.0
+    weight = labelled["weight"].to_numpy(np.float64) if "weight" in labelled else np.ones(len(y))
+    share = np.average(y, weights=weight) if len(y) else 0.0
     if len({*y[rest]}) == 2:
-        model.weights = _logistic((x - model.mean) / model.scale, y[rest])
+        model.weights = _logistic((x - model.mean) / model.scale, y[rest], weight[rest] / weight[rest].mean())
     else:
         model.weights = np.r_[np.log((share + 1e-9) / (1 - share + 1e-9)), np.zeros(x.shape[1])]
     return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most_rows: int) -> pd.DataFrame:
-    """At most ``most_rows`` labelled texts of each class, by a hash of the id; one per id."""
+    """At most ``most_rows`` labelled texts of each class, by a hash of the id; one per id.
+
+    ``weight``: the labelled rows of the class for each row taken, which calibrates scores to how frequent the classes are.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     parts = []
     for c in (0, 1):
@@ -257,7 +262,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
         few = known.where(F.col("label") == c).orderBy(order, id_col).limit(most_rows)
         ids = [r[0] for r in few.select(id_col).collect()]
         rows = docs.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        parts.append(rows.groupBy("id").agg(F.min("text").alias("text")).withColumn("label", F.lit(c)).toPandas())
+        part = rows.groupBy("id").agg(F.min("text").alias("text")).withColumn("label", F.lit(c)).toPandas()
+        parts.append(part.assign(weight=known.where(F.col("label") == c).count() / max(len(ids), 1)))
     return pd.concat(parts, ignore_index=True)
 
 
