@@ -1,12 +1,15 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree.  What the markup itself calls something else than the
-article (menus, forms, asides, adverts, reader comments, ...) is pruned.  In the rest
+article (menus, forms, asides, adverts, reader comments, ...) is pruned, unless it is a
+wrapper that holds most of the page's text.  In the rest
 each node gets its composite text density: characters per tag, adjusted for the share of
 characters and tags in links, after Sun, Song and Liao, "DOM based content extraction via
-text density" (SIGIR 2011).  A node's density sum is the sum over its children; the
-node with the largest sum holds the main text.  The smallest density on the path from it to
-the body is the threshold: subtrees beside that path are content too if they reach it.
+text density" (SIGIR 2011).  A node's density sum is the sum over its children; of the
+nodes that hold blocks, the one with the largest sum holds the main text.  The smallest density on the
+path from it to the body is the threshold: subtrees beside that path are content too if they reach
+it, and so are the headings before them.  A parent that adds little to the node (it keeps half of
+its density) takes its place, with what it adds.  Tags like ``article`` are nodes like any other.
 
 Work is per page and stays in the task that reads the page; nothing is shuffled.
 """
@@ -35,9 +38,14 @@ ROOMS = frozenset("ul ol dl table tbody thead tfoot tr body article section main
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer foot copyright contentinfo complementary cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist replies respond disqus discussion related recommended recommendations widget toolbar pagination pager skip search banner".split())
 OUTER_MARKS = frozenset("header masthead topbar".split())
 NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+# Elements whose compound names (share-price) say nothing; words that turn a mark round (with-sidebar).
+TEXTUAL = frozenset("p li dd dt td th blockquote pre figcaption caption span b i em strong a".split())
+TURNED = frozenset("with without no not has is".split())
+#: How a node is marked: not, by its tag or as hidden, by a name of its own, by a part of a name.
+PLAIN, HARD, NAMED, PARTLY = range(4)
 
 _TAG = re.compile(r"<(?:!--(?:.*?-->|>|->|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -45,7 +53,7 @@ class Page:
     """A page's tree: per node its tag, parent, what marks it, and its texts and children in order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.marked, self.parts = ["html"], [-1], [False], [[]]
+        self.tag, self.parent, self.marked, self.parts = ["html"], [-1], [PLAIN], [[]]
         self._inside_article = [False]
         self._build(source)
 
@@ -54,26 +62,34 @@ class Page:
         inside = self._inside_article[above] or tag in ("article", "main")
         self.tag.append(tag)
         self.parent.append(above)
-        self.marked.append(tag in PRUNED or (tag == "header" and not inside) or bool(attributes) and tag not in NEVER - {"article"} and self._marked(tag, attributes, inside))
+        if tag in PRUNED or (tag == "header" and not inside):
+            self.marked.append(HARD)
+        else:
+            self.marked.append(self._mark(tag, attributes, inside) if attributes and tag not in NEVER - {"article"} else PLAIN)
         self.parts.append([])
         self._inside_article.append(inside)
         self.parts[above].append(node)
         return node
 
     @staticmethod
-    def _marked(tag: str, attributes: str, inside: bool) -> bool:
+    def _mark(tag: str, attributes: str, inside: bool) -> int:
+        found = PLAIN
+        marks = MARKS if inside else MARKS | OUTER_MARKS
         for name, a, b, c in _ATTR.findall(attributes):
             name, value = name.lower(), a or b or c
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name == "style":
-                if "display:none" in value.replace(" ", "").lower():
-                    return True
-            else:
-                words = {x.lower() for x in _WORD.findall(value)}
-                if words & MARKS or (not inside and words & OUTER_MARKS):
-                    return True
-        return False
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+                return HARD
+            if name == "style" and "display:none" in value.replace(" ", "").lower():
+                return HARD
+            if name not in ("class", "id", "role"):
+                continue
+            for token in value.split():
+                words = [x.lower() for x in _WORD.findall(token)]
+                if token.lower() in marks or (len(words) == 1 and words[0] in marks):
+                    found = NAMED
+                elif found == PLAIN and tag not in TEXTUAL and marks & set(words) and not TURNED & set(words):
+                    found = PARTLY
+        return found
 
     def _build(self, source: str) -> None:
         stack, at, n = [0], 0, len(source)
@@ -131,17 +147,35 @@ class Page:
             stack.append(node)
 
 
-def _densities(page: Page) -> tuple[list[float], list[bool], int]:
-    """Each node's density, whether it is pruned, and the body."""
+def _own_chars(page: Page, i: int) -> int:
+    return sum(len(html.unescape(x).strip()) for x in page.parts[i] if isinstance(x, str))
+
+
+def _pruned(page: Page) -> list[bool]:
+    """The roots of what is left out.
+
+    A wrapper stays if most of the page's text outside of links is in it, and if its name is
+    only partly a mark or a main part, an article or a first heading lies in it.
+    """
     n = len(page.tag)
-    gone, holds = list(page.marked), [False] * n
+    hard, chars, holds = [m == HARD for m in page.marked], [0] * n, [False] * n
+    for i in range(1, n):
+        hard[i] = hard[i] or hard[page.parent[i]]
     for i in range(n - 1, 0, -1):
-        if page.tag[i] in ("article", "main") and not page.marked[i]:
-            holds[i] = True
-        if holds[i] and not page.marked[page.parent[i]]:
+        if hard[i] or page.tag[i] == "a":
+            continue
+        chars[i] += _own_chars(page, i)
+        chars[page.parent[i]] += chars[i]
+        if holds[i] or (page.marked[i] == PLAIN and page.tag[i] in ("article", "main", "h1")):
             holds[page.parent[i]] = True
-        elif holds[i] and page.tag[page.parent[i]] not in PRUNED and page.tag[i] == "main":
-            gone[page.parent[i]] = False  # what holds the page's main part is not a side part of it
+    most = chars[0] / 2
+    return [m == HARD or (m == NAMED and not (holds[i] and chars[i] > most)) or (m == PARTLY and chars[i] <= most) for i, m in enumerate(page.marked)]
+
+
+def _densities(page: Page) -> tuple[list[float], list[bool], int]:
+    """Each node's density, whether it is pruned, and the body."""
+    n = len(page.tag)
+    gone = _pruned(page)
     for i in range(1, n):
         gone[i] = gone[i] or gone[page.parent[i]]
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -151,7 +185,7 @@ def _densities(page: Page) -> tuple[list[float], list[bool], int]:
     for i in range(n - 1, -1, -1):
         if gone[i]:
             continue
-        own = sum(len(html.unescape(x).strip()) for x in page.parts[i] if isinstance(x, str))
+        own = _own_chars(page, i)
         chars[i] += own
         if in_link[i]:
             links[i] += own
@@ -180,14 +214,14 @@ def _blocks(page: Page, roots: set[int], gone: list[bool]) -> Iterator[str]:
     while todo:
         item, inside = todo.pop()
         if item is None or (isinstance(item, int) and (page.tag[item] in BLOCK)):
-            if run and (text := " ".join(html.unescape("".join(run)).split())):
+            if run and (text := " ".join("".join(run).split())):
                 yield text
             run = []
         if item is None:
             continue
         if isinstance(item, str):
             if inside:
-                run.append(item)
+                run.append(html.unescape(item))
             continue
         if gone[item]:
             continue
@@ -197,7 +231,7 @@ def _blocks(page: Page, roots: set[int], gone: list[bool]) -> Iterator[str]:
         if page.tag[item] in BLOCK:
             todo.append((None, inside))
         todo += [(x, inside) for x in reversed(page.parts[item])]
-    if text := " ".join(html.unescape("".join(run)).split()):
+    if text := " ".join("".join(run).split()):
         yield text
 
 
@@ -214,22 +248,18 @@ def main_text(source: str | None) -> str:
     inside = [False] * len(density)
     for i in range(body, len(density)):
         inside[i] = i == body or (page.parent[i] >= 0 and inside[page.parent[i]])
-    inner = [i for i in range(body, len(density)) if inside[i] and not gone[i]]
+    blocks = [False] * len(density)
+    for i in range(1, len(density)):
+        if not gone[i] and page.tag[i] in BLOCK:
+            blocks[page.parent[i]] = True
+    inner = [i for i in range(body, len(density)) if inside[i] and not gone[i] and (blocks[i] or i == body)]
     best = max(inner, key=lambda i: (sums[i], density[i], -i), default=body)
-    if not sums[best]:
-        return "\n".join(_blocks(page, {body}, gone))
     path = [best]
     while path[-1] != body and page.parent[path[-1]] >= 0:
         path.append(page.parent[path[-1]])
     threshold = min(density[i] for i in path)
-    # The article as the page marks it, if the best node lies in one; else the best node and
-    # what is as dense beside the path.
-    top = next((i for i in reversed(path) if page.tag[i] in ("article", "main") and i != body), None)
-    articles = [i for i in path if page.tag[i] == "article"]
-    if articles:
-        top = articles[-1]
-    if top is not None:
-        return "\n".join(_blocks(page, {top}, gone))
+    while len(path) > 2 and density[path[1]] >= density[path[0]] / 2:
+        best, path = path[1], path[1:]
     roots = {best}
     for i in path[1:]:
         heads = []
