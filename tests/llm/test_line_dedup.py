@@ -1,5 +1,6 @@
 """Line deduplication against a plain count of lines."""
 
+import time
 from collections import Counter
 
 from gridframe.llm import line_dedup, queries
@@ -53,9 +54,33 @@ def test_runs_are_compacted(spark):
         store.add(hashed(batch))
     assert [len(x) for x in store.levels] == [1, 0, 1]
     assert sorted(r["n_docs"] for r in store.counts().collect()) == [1, 2, 2, 2]
-    for path in store.runs():
-        for part in spark.read.parquet(path).rdd.glom().collect():
+    for name in store.runs():
+        for part in spark.table(name).rdd.glom().collect():
             assert part == sorted(part)
+    # Runs are merged and joined without a shuffle.
+    plan = store.counts(2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    store.add(hashed(["b", "b", "b", "e"]), least=2, rows=4)
+    settled = {r["n_docs"] for r in spark.table(store.levels[0][-1]).collect()} if store.levels[0] else set()
+    assert sorted(r["n_docs"] for r in store.counts().collect()) == [1, 1, 2, 2, 5] and settled <= {1, 3}
+    store.close()
+    assert not store.runs()
+
+
+def test_settled_lines_are_not_counted_again(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_HOT", 1)
+    store = line_dedup.LineRuns(spark, fanout=9)
+    for batch in (["a"] * 3 + ["b"], ["a", "b", "c", "c"]):
+        store.add(spark.createDataFrame([(ord(x), 0) for x in batch], "h1 long, h2 long"), least=3, rows=4)
+    assert sorted(map(tuple, spark.table(store.runs()[-1]).collect())) == [(ord("b"), 0, 1), (ord("c"), 0, 2)]
+    store.close()
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    rows = [(i, "\n".join(f"line {j}" for j in range(100_000 if i < 2 else 50_000))) for i in range(4)]
+    began = time.perf_counter()
+    assert run(spark, rows, min_docs=3) == brute(rows, 3)
+    assert time.perf_counter() - began < 60
 
 
 def test_query(spark, sf, same_as_sql):
