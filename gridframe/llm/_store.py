@@ -50,7 +50,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a scratch table and reads it back."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables from ``saved`` that nothing reads any more, so that large ones do not add up."""
+    for x in tables:
+        drop(x.sparkSession, x.scratch_path)
 
 
 def ready_python(spark: SparkSession) -> None:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import components
-from ._store import lookup, ready_python, saved, shuffled_joins
+from ._store import discard, lookup, ready_python, saved, shuffled_joins
 from ._words import NON_SPACE, hashed_words, mix
 
 #: Partitionings: the first, and further ones for sets with many empty partitions.
@@ -213,6 +213,7 @@ class _Links:
         own = saved(self.members.select("node").distinct(), "member-nodes")
         about = saved(nodes.select("node", "rep", "f.n", "f.sketch").join(own, "node", "left_semi"), "sketches")
         self.sketches = about.select("node", "n", "sketch")
+        discard(counts)
         # One document of each node in question gives its set.
         texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
         found = texts.join(about.select("rep", "node"), "rep").select("node", hashed_set("text", words).alias("s")).where(F.col("node") == F.col("s.node"))
@@ -257,6 +258,7 @@ class _Links:
         common = F.size(F.array_intersect("set_a", "set_b"))
         linked = both.where(100 * common >= self.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
         linked = saved(linked, "linked")
+        discard(close, degree, mine)
         if not linked.take(1):
             return
         side = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
@@ -352,7 +354,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     # Equal sets have equal features.
     nodes = known.groupBy(F.col("f.node").alias("node")).agg(F.min("id").alias("rep"), F.count("*").alias("uses"), F.first("f").alias("f"))
     nodes = saved(nodes, "nodes")
+    slim = saved(rows.select("id", "f.n", "f.node"), "document-nodes")
+    discard(rows)
+    reps = saved(nodes.select("node", "rep", "uses"), "reps")
     links = _Links(docs, id_col, text_col, nodes, words, percent)
+    discard(nodes)
     groups = saved(links.members.join(links.comps, "node"), "groups")
     for turn in range(max(centre_rounds, 1)):
         best = links.by_centre(groups)
@@ -365,10 +371,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     else:
         rest = links.by_difference(groups).unionByName(links.across(groups))
         links.check(links._new(rest), last=True)
-    placed = nodes.select("node", "rep", "uses").join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = reps.join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = saved(placed.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes")), "least-ids")
     final = saved(lookup(placed, least, "comp", "nodes").select("node", "component_id", "uses"), "node-components")
-    slim = rows.select("id", "f.n", "f.node")
     plain = slim.where(F.col("node").isNull() | F.col("id").isNull()).withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")))
     some = slim.where(F.col("node").isNotNull() & F.col("id").isNotNull())
     out = lookup(some, final, "node", "uses").select("id", "n", "node", "component_id").unionByName(plain)
