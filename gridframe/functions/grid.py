@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|`[^`]+`|(?<![A-Za-z0-9_.])[A-Za-z_][A-Za-z0-9_]*(?!\s*\()")
 #: Functions whose value changes from row to row.
-_VOLATILE = re.compile(r"\b(rand|randn|random|uuid|shuffle|monotonically_increasing_id|spark_partition_id)\s*\(", re.I)
+_VOLATILE = re.compile(r"\b(rand|randn|random|randstr|uniform|uuid|shuffle|monotonically_increasing_id|spark_partition_id)\s*\(", re.I)
 
 
 def references(expression: str, names: Sequence[str]) -> list[str]:
@@ -36,6 +36,20 @@ def is_volatile(expression: str) -> bool:
     return bool(_VOLATILE.search(expression))
 
 
+def conjuncts(predicate: str) -> list[str]:
+    """The parts of a predicate that AND joins at its top, as Spark parses it; itself if there is one."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or not re.search(r"\band\b", predicate, re.I):
+        return [predicate]
+    parser = spark._jsparkSession.sessionState().sqlParser()
+
+    def parts(e) -> list[str]:
+        return [*parts(e.left()), *parts(e.right())] if e.nodeName() == "And" else [e.sql()]
+
+    found = parts(parser.parseExpression(predicate))
+    return found if len(found) > 1 else [predicate]
+
+
 def target_axes(columns: Mapping[str, Sequence[str]]) -> list[str]:
     """The axes of the grid that columns span: the widest column's (the last of several), then others by first use."""
     widest: Sequence[str] = ()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grid import axis_indices, cell_index, grid_size, indices, is_volatile, quoted, references, rewritten, selection_kind, stride, target_axes
+from ..functions.grid import axis_indices, cell_index, conjuncts, grid_size, indices, is_volatile, quoted, references, rewritten, selection_kind, stride, target_axes
 from ..sources.encoding import KEY, coordinates, dims_of, encode, is_encoded, validate
 
 _REDUCE = ("mean", "min", "max", "first")
@@ -88,11 +88,11 @@ class NdFrame:
     def filter(self, *predicates: str) -> NdFrame:
         """Keeps the cells for which every predicate (SQL) is true; false and null both drop.
 
-        A predicate whose columns lie on one and the same axis selects indices of it.  The columns
+        Predicates are split at AND; a part whose columns lie on one and the same axis selects indices of it.  The columns
         of a predicate count for the grid like selected ones.
         """
         out = self
-        for p in predicates:
+        for p in (c for whole in predicates for c in conjuncts(whole)):
             columns = references(p, self.df.columns)
             used = (*out.used, *(c for c in columns if c not in out.used))
             axes = {a for c in columns for a in self.dims.get(c, ())}

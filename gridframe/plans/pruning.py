@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grid import references
+from ..functions.grid import conjuncts, references
 
 
 def axis_ranges(coordinates: Mapping[str, DataFrame], *predicates: str) -> DataFrame:
     """``axis, start, stop``: the runs of indices that the predicates keep, per constrained axis.
 
-    ``coordinates``: per axis a frame ``pos`` and a column named like the axis.  Predicates that use
+    ``coordinates``: per axis a frame ``pos`` and a column named like the axis.  Predicates are split at AND; parts that use
     other columns, or several, constrain nothing; null coordinates are dropped.
     """
+    predicates = [c for p in predicates for c in conjuncts(p)]
     found = None
     for axis, frame in coordinates.items():
         others = [c for a in coordinates for c in (a,) if a != axis]

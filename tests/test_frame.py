@@ -211,6 +211,18 @@ def test_unknown_columns_and_axes(spark, grid):
     assert NdFrame.of(bare, {"a": ["x"]}).to_df().count() == 1
 
 
+def test_predicates_are_split_at_and(grid):
+    one = grid.filter("lat > -10 AND lon = 5 AND (time > 100 OR lat < 0)").select("time", "lat", "lon", "sst")
+    assert [a for a, _ in one.on_axis] == ["lat", "lon"] and len(one.residual) == 1
+    assert collected(one.to_df()) == sorted(flat(grid_rows(), ("time", "lat", "lon", "sst"), (), lambda r: r["lat"] > -10 and r["lon"] == 5 and (r["time"] > 100 or r["lat"] < 0)), key=str)
+    assert [a for a, _ in grid.filter("lat BETWEEN -10 AND 40 and source like 'sh%'").on_axis][0] == "lat"
+
+
+def test_random_functions_are_per_row(grid):
+    rows = grid.select("lat", "lon", ("uniform(0, 1000000)", "u")).to_df().collect()
+    assert len({r["u"] for r in rows}) > 1
+
+
 def test_explain_names_the_region(grid):
     text = grid.filter("lat > 0").select("sst").explain()
     assert "boundary" in text and "filter lat > 0 on lat" in text and "grid_axes=[time, lat, lon]" in text

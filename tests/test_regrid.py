@@ -69,6 +69,7 @@ def test_axis_ranges_and_pruning(spark):
     lat = spark.createDataFrame([(0, -30.0), (1, None), (2, 30.0)], "pos int, lat double")
     ranges = axis_ranges({"time": time, "lat": lat}, "time >= 101 AND time <> 102", "lat > -40", "sst > 3", "time + lat > 0")
     assert sorted(map(tuple, ranges.collect())) == [("lat", 0, 1), ("lat", 2, 3), ("time", 1, 2), ("time", 3, 4)]
+    assert sorted(map(tuple, axis_ranges({"time": time, "lat": lat}, "time >= 102 AND sst > 3").collect())) == [("time", 2, 4)]
     manifest = spark.sql("SELECT * FROM VALUES ('a', map('time', named_struct('origin', 0, 'size', 2))), ('b', map('time', named_struct('origin', 2, 'size', 1))), ('c', map()) AS t(k, placement)")
     assert sorted(r["k"] for r in needed(manifest, ranges, ["time"]).collect()) == ["a", "c"]
 
