@@ -46,11 +46,29 @@ def drop(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Sets the session's configurations while the block runs; ``__`` stands for a dot."""
+    before = {k: spark.conf.get(k, None) for k in (x.replace("__", ".") for x in values)}
+    for k, v in zip(before, values.values(), strict=True):
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a scratch table and reads it back."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to a scratch table and reads it back.
+
+    What was shuffled for it goes as soon as it is written; until then a lost executor's part can be made again.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
@@ -88,15 +106,8 @@ def shuffled_joins(spark: SparkSession) -> Iterator[None]:
     Spark would broadcast what happens to be small; then a plan, and what it costs the driver,
     changes with the size of the input.
     """
-    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
-    before = [spark.conf.get(k, None) for k in keys]
-    for k in keys:
-        spark.conf.set(k, "-1")
-    try:
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
         yield
-    finally:
-        for k, v in zip(keys, before, strict=True):
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 #: In ``lookup``, at most this many keys can have more than 1 / MOST_HOT of the rows.
