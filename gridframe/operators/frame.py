@@ -352,9 +352,16 @@ class NdFrame:
     # The boundary
 
     def to_df(self) -> DataFrame:
-        """Flat rows, one for each selected cell: a chunk's columns on the grid of the used ones."""
+        """Flat rows, one for each selected cell: a chunk's columns on the grid of the used ones.
+
+        A used column with other than as many values as its sizes multiply to is an error.
+        """
         grid = self._in_grid()
         df, axes = (self.df, self.axes()) if self.cells else self._sized()
+        whole = [f"{quoted(c)}.values IS NULL OR size({quoted(c)}.values) = aggregate({quoted(c)}.dim_sizes, 1L, (x, y) -> x * y)" for c in grid if not c.startswith("__")]
+        if whole:
+            wrong = F.raise_error(F.lit("a grid column has more or fewer values than its sizes say"))
+            df = df.where(F.when(F.expr(" AND ".join(f"({x})" for x in whole)), F.lit(True)).otherwise(wrong))
         scalars = [c for c in df.columns if c not in self.dims and (c in self.shown or c in self.used or c.startswith("__") or any(c in references(p, [c]) for p in (*self.residual, *(e for e, _ in self.per_row))))]
         df = df.withColumns({f"__s_{c}_{a}": F.expr(stride(c, a)) for c, own in grid.items() for a in own})
         steps = [f"__s_{c}_{a}" for c, own in grid.items() for a in own]

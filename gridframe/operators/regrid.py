@@ -51,10 +51,28 @@ class Regridded:
         at = [f"pos_{a}" for a in self.axes]
         return grid.join(self.cells.drop(*self.axes), at, "left")
 
-    def write(self, sink: Callable[[DataFrame], None]) -> DataFrame:
-        """Hands the placed cells to a sink; gives one row ``count``."""
-        sink(self.cells)
-        return self.cells.agg(F.count("*").alias("count"))
+    def write(self, sink: Callable[[DataFrame], DataFrame | None]) -> DataFrame:
+        """Hands the placed cells to a sink, or every cell of the grid if it ``requires_grid``; gives one row ``count``.
+
+        What the sink returns is what it wrote, and is counted; a sink that returns nothing has the cells computed for it again.
+        """
+        cells = self.dense() if getattr(sink, "requires_grid", False) else self.cells
+        written = sink(cells)
+        return (cells if written is None else written).agg(F.count("*").alias("count"))
+
+
+@dataclass(frozen=True)
+class TableSink:
+    """Writes cells as a table of files and reads it back; ``requires_grid`` asks for every cell of the output grid."""
+
+    path: str
+    requires_grid: bool = False
+    format: str = "parquet"
+    mode: str = "errorifexists"
+
+    def __call__(self, cells: DataFrame) -> DataFrame:
+        cells.write.format(self.format).mode(self.mode).save(self.path)
+        return cells.sparkSession.read.format(self.format).schema(cells.schema).load(self.path)
 
 
 def _placed(frame: NdFrame, axes: tuple[tuple[str, bool], ...], known: dict[str, str]) -> tuple[dict[str, DataFrame], NdFrame]:

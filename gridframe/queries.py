@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.grid import axis_order
-from .operators import NdFrame, regrid
+from .operators import NdFrame, TableSink, regrid
 from .plans.pruning import axis_ranges, needed
 from .plans.session import NdSession
 from .sources.encoding import dense, encode
@@ -123,6 +125,18 @@ def _with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NdFrame.of(broken, {**frame.dims, "gone": ("month", "nation")}).select("year", "nation", "gone").to_df()
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares; a session without one, as in tests, gets a folder of its own."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='gridframe-')}/cells-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sink that requires the whole grid has written."""
+    path = _scratch(spark)
+    regrid(activity(spark, sf_dir).select("n")).write(TableSink(path, requires_grid=True))
+    return spark.read.parquet(path).select("day", "etype", "n")
+
+
 def _sql(query: str, *tables: Callable[[SparkSession, str], NdFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         session = NdSession(spark)
@@ -176,6 +190,11 @@ _TABLE: dict[str, tuple[_Query, str | None]] = {
     "sql_join_tables": (_sql("SELECT a.n, b.k FROM (SELECT count(*) AS n FROM dialogs_grid WHERE turn IS NOT NULL) a CROSS JOIN (SELECT count(*) AS k FROM sales_grid WHERE region = 4) b", sales, dialogs), _SALES + "SELECT (SELECT count(*) FROM conversations) AS n, (SELECT count(*) FROM years CROSS JOIN nations WHERE region = 4) AS k"),
     "join_on_coordinate": (lambda s, d: _S(s, d).filter("month % 100 = 1").select("year", "nation", "segment", "revenue").to_df().join(s.read.parquet(f"{d}/nation.parquet"), F.col("nation") == F.col("n_nationkey")).select("year", "n_name", "segment", "revenue"), _SALES + "SELECT year, n_name, segment, revenue FROM sales JOIN nation ON nation = n_nationkey WHERE month % 100 = 1"),
     "semi_join_on_coordinate": (lambda s, d: _S(s, d).select("year", "nation").to_df().join(s.read.parquet(f"{d}/nation.parquet").where("n_regionkey = 2"), F.col("nation") == F.col("n_nationkey"), "left_semi"), _SALES + "SELECT year, nation FROM years CROSS JOIN nations WHERE region = 2"),
+    "anti_join_on_coordinate": (lambda s, d: _S(s, d).select("year", "nation").to_df().join(s.read.parquet(f"{d}/nation.parquet").where("n_regionkey = 2"), F.col("nation") == F.col("n_nationkey"), "left_anti"), _SALES + "SELECT year, nation FROM years CROSS JOIN nations WHERE region <> 2"),
+    "outer_join_on_coordinate": (lambda s, d: _S(s, d).filter("nation < 5").select("year", "nation").to_df().join(s.read.parquet(f"{d}/nation.parquet").where("n_nationkey > 2").select("n_nationkey", "n_name"), F.col("nation") == F.col("n_nationkey"), "full"), _SALES + "SELECT year, nation, n_nationkey, n_name FROM (SELECT year, nation FROM years CROSS JOIN nations WHERE nation < 5) FULL JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 2) ON nation = n_nationkey"),
+    "theta_join_on_coordinate": (lambda s, d: _S(s, d).filter("region = 1").select("year", "nation").to_df().alias("a").join(_S(s, d).select("year", "nation").to_df().alias("b"), F.expr("a.year = b.year AND b.nation BETWEEN a.nation + 1 AND a.nation + 2")).selectExpr("a.year", "a.nation", "b.nation AS later"), _SALES + "SELECT a.year, a.nation, b.nation AS later FROM (SELECT * FROM years CROSS JOIN nations) a JOIN (SELECT * FROM years CROSS JOIN nations) b ON a.year = b.year AND b.nation BETWEEN a.nation + 1 AND a.nation + 2 WHERE a.region = 1"),
+    "sql_intersect": (_sql("SELECT region FROM sales_grid WHERE nation < 9 INTERSECT SELECT region FROM sales_grid WHERE nation > 14", sales), _SALES + "SELECT region FROM nations WHERE nation < 9 INTERSECT SELECT region FROM nations WHERE nation > 14"),
+    "except_of_grids": (lambda s, d: _S(s, d).select("nation").to_df().subtract(_S(s, d).filter("region = 3").select("nation").to_df()), _SALES + "SELECT nation FROM nations WHERE region <> 3"),
     "window_over_axis": (lambda s, d: _S(s, d).filter("segment = 'BUILDING'").select("month", "nation", "revenue", "segment").to_df().withColumn("prev", F.lag("revenue").over(Window.partitionBy("nation").orderBy("month"))).drop("segment"), _SALES + "SELECT month, nation, revenue, lag(revenue) OVER (PARTITION BY nation ORDER BY month) AS prev FROM sales WHERE segment = 'BUILDING'"),
     "compact_rectangle": (lambda s, d: _S(s, d).filter("region = 1", "month % 100 > 6").compact().to_df(), _SALES + "SELECT * FROM sales WHERE region = 1 AND month % 100 > 6"),
     "compact_mask_nulls": (lambda s, d: _S(s, d).filter("month % 100 + nation > 20").compact().to_df(), _SALES + "SELECT year, month, nation, segment, CASE WHEN month % 100 + nation > 20 THEN revenue END AS revenue, region FROM sales"),
@@ -188,7 +207,8 @@ _TABLE: dict[str, tuple[_Query, str | None]] = {
     "regrid_sparse": (lambda s, d: regrid(_A(s, d).select("n")).dense().select("day", "etype", "n"), _ACTIVITY + "SELECT day, etype, n FROM (SELECT DISTINCT day FROM days) CROSS JOIN (SELECT DISTINCT etype FROM types) LEFT JOIN activity USING (day, etype)"),
     "regrid_descending": (lambda s, d: regrid(NdFrame.of(_A(s, d).df, grid_axes=[("day", True), "etype"]).select("n")).cells.select("pos_day", "pos_etype", "n"), _ACTIVITY + "SELECT dense_rank() OVER (ORDER BY day DESC) - 1 AS pos_day, dense_rank() OVER (ORDER BY etype) - 1 AS pos_etype, n FROM activity"),
     "regrid_overlap_check": (lambda s, d: regrid(_doubled(s, d)).overlaps("chunk").select(F.col("pos_day").alias("day_at"), F.col("pos_etype").alias("type_at"), F.array_join("chunks", "|").alias("chunks")), _ACTIVITY + "SELECT day_at, type_at, chunk || '|again' AS chunks FROM (SELECT chunk, dense_rank() OVER (ORDER BY day) - 1 AS day_at, dense_rank() OVER (ORDER BY etype) - 1 AS type_at FROM activity) WHERE chunk LIKE '0%'"),
-    "grid_sink_count": (lambda s, d: regrid(_A(s, d).select("n")).write(lambda cells: None), _ACTIVITY + "SELECT count(*) AS count FROM activity"),
+    "grid_sink_count": (lambda s, d: regrid(_A(s, d).select("n")).write(TableSink(_scratch(s))), _ACTIVITY + "SELECT count(*) AS count FROM activity"),
+    "grid_sink_dense": (_written, _ACTIVITY + "SELECT day, etype, n FROM (SELECT DISTINCT day FROM days) CROSS JOIN (SELECT DISTINCT etype FROM types) LEFT JOIN activity USING (day, etype)"),
     "coordinates_added": (lambda s, d: _S(s, d).filter("region = 1").select("revenue").with_coordinates().to_df(), _SALES + "SELECT revenue, month, nation, segment FROM sales WHERE region = 1"),
     "axis_ranges": (lambda s, d: axis_ranges(_ranges(s), "time >= 101 AND time <> 102", "lat > -40", "sst > 3"), "SELECT * FROM (VALUES ('time', 1, 2), ('time', 3, 4), ('lat', 0, 1), ('lat', 2, 3)) t(axis, start, stop)"),
     "chunks_pruned": (_pruned, _ACTIVITY + "SELECT DISTINCT chunk FROM days WHERE day % 100 BETWEEN 5 AND 12"),

@@ -236,3 +236,13 @@ def test_the_boundary_reads_only_what_is_used(grid, tmp_path, spark):
     plan = back.filter("lat > 0").select("elev").to_df()._jdf.queryExecution().executedPlan().toString()
     schema = plan[plan.index("ReadSchema") :]
     assert "elev" in schema and "sst" not in schema and "Exchange" not in plan and "Python" not in plan
+
+
+def test_value_counts_are_checked(spark):
+    for values in ([1.0, 2.0, 3.0], [1.0]):
+        broken = NdFrame.of(chunks(spark, {"lat": ("double", ["lat"]), "t": ("double", ["lat"])}, [{"lat": ([0.0, 1.0], [2]), "t": (values, [2])}]))
+        with pytest.raises(Exception, match="more or fewer values"):
+            broken.to_df().collect()
+        assert broken.select("lat").to_df().count() == 2
+    empty = NdFrame.of(chunks(spark, {"lat": ("double", ["lat"])}, [{"lat": ([], [0])}]))
+    assert empty.to_df().count() == 0

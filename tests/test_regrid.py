@@ -4,7 +4,7 @@ import pytest
 
 from gridframe.operators import NdFrame, regrid
 from gridframe.operators.frame import NdPlanError
-from gridframe.operators.regrid import OverlapError
+from gridframe.operators.regrid import OverlapError, TableSink
 from gridframe.plans.pruning import axis_ranges, needed
 from gridframe.plans.session import NdSession
 from gridframe.sources.encoding import chunks
@@ -57,10 +57,17 @@ def test_errors(spark):
         regrid(tiles(spark, ("a", [1, None], [0]))).dense().collect()
 
 
-def test_filtered_grid(spark):
+def test_filtered_grid(spark, tmp_path):
     frame = NdFrame.of(chunks(spark, GRID, list(grid_rows())), grid_axes=["time", "lat", "lon"])
     out = regrid(frame.filter("lat > -10").select("sst"))
     assert out.write(lambda cells: None).first()["count"] == 16
+    assert out.write(TableSink(str(tmp_path / "cells"))).first()["count"] == 16
+    whole = TableSink(str(tmp_path / "whole"), requires_grid=True)
+    assert out.write(whole).first()["count"] == 16 == spark.read.parquet(whole.path).count()
+    gaps = regrid(tiles(spark, ("a", [100], [0]), ("b", [101], [10])))
+    assert gaps.write(TableSink(str(tmp_path / "gaps"), requires_grid=True)).first()["count"] == 4
+    with pytest.raises(Exception, match="already exists"):
+        out.write(whole)
     assert {a: t.count() for a, t in out.coordinates.items()} == {"time": 4, "lat": 2, "lon": 2}
 
 
