@@ -139,13 +139,14 @@ class NdFrame:
                 out = replace(out, df=out.df.withColumn(hidden, F.col(quoted(name))), dims={**out.dims, **({hidden: out.dims[name]} if name in out.dims else {})}, used=tuple(hidden if u == name else u for u in out.used),
                               on_axis=tuple((a, rewritten(p, {name: hidden})) for a, p in out.on_axis), residual=tuple(rewritten(p, {name: hidden}) for p in out.residual))
         base = self
-        df, dims = out.df, dict(out.dims)
+        dims, values = dict(out.dims), {}
         for name, expression in made.items():
-            column, axes = base._footprint(expression, name)
-            df = df.withColumn(name, column)
+            values[name], axes = base._footprint(expression, name)
             dims.pop(name, None)
             if axes is not None:
                 dims[name] = axes
+        # Else the boundary, or an expression on one of these, would compute them once per cell.
+        df = _computed(out.df, values) if values else out.df
         more = [c for e, _ in per_row for c in references(e, self.df.columns)]
         return out._noted("project", df=df, dims=dims, shown=tuple(shown), used=tuple(dict.fromkeys([*out.used, *more])), per_row=tuple(per_row))
 

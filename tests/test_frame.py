@@ -246,3 +246,17 @@ def test_value_counts_are_checked(spark):
         assert broken.select("lat").to_df().count() == 2
     empty = NdFrame.of(chunks(spark, {"lat": ("double", ["lat"])}, [{"lat": ([], [0])}]))
     assert empty.to_df().count() == 0
+
+
+def test_projected_columns_are_computed_once(spark, grid):
+    case = grid.select("time", ("CASE WHEN sst > 3 THEN 'warm' WHEN sst IS NULL THEN 'none' ELSE 'cold' END", "level"))
+    plan = case.select("time", ("concat(level, '!')", "loud")).to_df()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("warm") == 1
+    want = flat(grid_rows(), ["time", "sst"], used=["sst"])
+    assert collected(case.to_df()) == sorted(((t, "none" if s is None else "warm" if s > 3 else "cold") for t, s in want), key=str)
+    assert case.df.schema["level"].metadata["nd.array"]["dims"] == ["time", "lat", "lon"]
+
+
+def test_expressions_see_the_columns_as_they_were(grid):
+    got = grid.select(("lat * 2", "lat"), ("lat + 1", "more")).to_df()
+    assert collected(got) == sorted(((2 * x, x + 1) for (x,) in flat(grid_rows(), ["lat"])), key=str)
