@@ -146,8 +146,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.bounds = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        #: A tenth of what the same texts take as keys of a dict.
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _lists(self, pieces: list[str]) -> list[list[int]]:
         out: list = [None] * len(pieces)
@@ -163,22 +164,24 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _codes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The number of each piece, and the ids and bounds of all known pieces."""
-        fresh = [x for x in pieces if x not in self.known]
-        if fresh and len(self.known) + len(fresh) > MOST_KNOWN:
+    def _codes(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """The number of each of the pieces, which are distinct; ``ids`` and ``bounds`` then hold all known ones."""
+        found = pc.index_in(pieces, value_set=self.known)
+        if found.null_count and len(self.known) + found.null_count > MOST_KNOWN:
             self._forget()
-            fresh = pieces
+            found = pa.nulls(len(pieces), pa.int32())
+        fresh = pieces.filter(pc.is_null(found))
+        codes = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        codes[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(fresh))
+        ids, bounds = [self.ids], [self.bounds]
         for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            lists = self._lists(some)
+            lists = self._lists(fresh.slice(at, 20_000).to_pylist())
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids.append(np.fromiter((y for x in lists for y in x), np.uint32, int(sizes.sum())))
-            self.bounds.append(self.bounds[-1][-1] + np.cumsum(sizes))
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-        self.ids, self.bounds = [np.concatenate(self.ids)], [np.concatenate(self.bounds)]
-        known = self.known
-        return np.fromiter((known[x] for x in pieces), np.int64, len(pieces)), self.ids[0], self.bounds[0]
+            ids.append(np.fromiter((y for x in lists for y in x), np.uint32, int(sizes.sum())))
+            bounds.append(bounds[-1][-1] + np.cumsum(sizes))
+        if len(fresh):
+            self.known, self.ids, self.bounds = pa.concat_arrays([self.known, fresh]), np.concatenate(ids), np.concatenate(bounds)
+        return codes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pa.array(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -207,8 +210,8 @@ class Encoder:
         offsets = offsets - offsets[0]
         at = piece_starts(raw, offsets[:-1][offsets[:-1] < offsets[1:]])
         pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.r_[at, len(raw)].astype(np.int64)), pa.py_buffer(raw.tobytes())).dictionary_encode()
-        codes, ids, bounds = self._codes(pieces.dictionary.to_pylist())
-        code = codes[pieces.indices.to_numpy()]
+        code = self._codes(pieces.dictionary)[pieces.indices.to_numpy()]
+        ids, bounds = self.ids, self.bounds
         size = bounds[code + 1] - bounds[code]
         before = np.cumsum(size) - size
         out = ids[np.arange(int(size.sum())) - np.repeat(before, size) + np.repeat(bounds[code], size)]
@@ -256,6 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
 
         for batch in slices(batches, "text", 4 << 20):
             ids, sizes = encoder.encode(batch.column("text"))
+            pa.default_memory_pool().release_unused()  # else it keeps the most that any batch took
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id).astype(np.uint32)
             starts = position + np.r_[0, np.cumsum(sizes + 1)]

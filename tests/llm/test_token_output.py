@@ -96,3 +96,28 @@ def test_empty_table(spark):
 def test_query(spark, sf, tokenizer):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     assert sorted(map(tuple, op3_token_output(spark, sf).collect())) == expected(docs, tokenizer)
+
+
+def test_known_pieces_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gridframe.llm import queries
+    from gridframe.llm.token_output import Encoder
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        encoder = Encoder(f.read())
+    words = [f"w{i}" for i in range(40_000)]
+    texts = pa.array([" ".join(words[i : i + 100]) for i in range(0, len(words), 100)])
+    want = encoder.encode(texts)
+    encoder._forget()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    got = encoder.encode(texts)
+    again = encoder.encode(texts)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before - sum(x.nbytes for x in (*got, *again))
+    tracemalloc.stop()
+    assert len(encoder.known) >= len(words)
+    assert held < 60 * len(encoder.known)
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(want, got, again, strict=True))
