@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
         small = saved(small.where("a <> b").distinct(), "small-star")
         # Done when every node hangs on one smaller node that hangs on none.
-        many = small.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        chained = small.join(small.select(F.col("a").alias("b")), "b", "left_semi").select("a")
-        if not many.unionByName(chained).take(1):
+        ends = small.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("hangs")), F.struct(F.col("b").alias("node"), F.lit(0).alias("hangs")))))
+        each = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("least"))
+        if not each.agg(F.max(F.expr("hangs > 1 OR hangs > 0 AND least = 0"))).first()[0]:
             break
         edges = small
     roots = small.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()

@@ -110,25 +110,29 @@ def shuffled_joins(spark: SparkSession) -> Iterator[None]:
         yield
 
 
-#: In ``lookup``, at most this many keys can have more than 1 / MOST_HOT of the rows.
+#: In ``lookup``, at most this many keys are broadcast, and tables of fewer rows are joined as they are.
 MOST_HOT = 10_000
+#: A key is hot from this part of a task's fair share of the rows.
+HOT_PART = 4
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", drop: bool = True) -> DataFrame:
     """Joins ``rows`` with a saved ``table`` that has one row per key, whatever the skew.
 
     ``weight`` is a column of ``table`` with the number of ``rows`` that have the key; the result
-    has it unless it is dropped.  Keys with more than a share of 1 / MOST_HOT of all rows are
-    broadcast: there cannot be more than MOST_HOT of them.  For the others no task gets a large group.
+    has it unless it is dropped.  Keys with more than 1 / HOT_PART of what a task gets on average are
+    broadcast: there cannot be more than HOT_PART times the tasks of them, nor more than MOST_HOT.  For the
+    others no task gets a large group.  Without a hot key it is a plain join, and nothing is read twice.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    edge = max(1, total // MOST_HOT)
+    total, largest = table.agg(F.coalesce(F.sum(weight), F.lit(0)), F.max(weight)).first()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge = max(1, total // min(MOST_HOT, HOT_PART * tasks))
+    if total <= MOST_HOT or largest <= edge:
+        # Without a key above the edge; or so few rows that their keys may be anything.
+        return rows.join(table.drop(weight) if drop else table, key, how)
     hot, cool = table.where(F.col(weight) > edge), table.where(F.col(weight) <= edge)
     if drop:
         hot, cool = hot.drop(weight), cool.drop(weight)
-    if total <= MOST_HOT or not hot.take(1):
-        # Without a key above the edge; or so few rows that their keys may be anything.
-        return rows.join(table.drop(weight) if drop else table, key, how)
     marks = hot.select(key)
     few = rows.join(F.broadcast(hot), key, "inner" if how == "left" else how)
     rest = rows.join(F.broadcast(marks), key, "left_anti")

@@ -218,9 +218,14 @@ class _Links:
         texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
         found = texts.join(about.select("rep", "node"), "rep").select("node", hashed_set("text", words).alias("s")).where(F.col("node") == F.col("s.node"))
         self.sets = saved(found.select("node", F.col("s.set").alias("set")).dropDuplicates(["node"]), "sets")
-        self.comps = saved(own.select("node", F.col("node").alias("comp")), "comps")
+        self.comps = own.select("node", F.col("node").alias("comp"))
         self.tried: DataFrame | None = None
 
+    def _to_centres(self, best: DataFrame) -> DataFrame:
+        """The pairs of ``x`` and its centre ``y``, once each; ``a`` is the centre, so that no node is ``b`` twice."""
+        ends = best.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.min("x").alias("b"))
+        return saved(ends.select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b"), "pairs")
+
     def _new(self, pairs: DataFrame) -> DataFrame:
         """The pairs that were not checked, once each, turned so that ``a`` is the node in more of them."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -270,12 +275,16 @@ class _Links:
         """The members of groups that still hold several components."""
         placed = self.members.join(self.comps, "node")
         several = placed.groupBy("signature").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("signature", "size")
-        return saved(lookup(placed, saved(several, "several"), "signature", "size"), "apart")
+        return saved(lookup(placed, saved(several, "several"), "signature", "size", drop=False), "apart")
 
     def by_centre(self, groups: DataFrame) -> DataFrame:
         """``x, y``: for each node ``x`` the best centre ``y`` of its groups that it was not checked with."""
-        sizes = saved(groups.groupBy("signature").agg(F.count("*").alias("size")), "group-sizes")
-        score = saved(lookup(groups, sizes, "signature", "size", drop=False).groupBy("node").agg(F.sum("size").alias("score")), "scores")
+        sized = groups
+        if "size" not in groups.columns:
+            sizes = saved(groups.groupBy("signature").agg(F.count("*").alias("size")), "group-sizes")
+            sized = lookup(groups, sizes, "signature", "size", drop=False)
+        groups = groups.drop("size")
+        score = saved(sized.groupBy("node").agg(F.sum("size").alias("score")), "scores")
         scored = groups.join(score, "node")
         centre = scored.groupBy("signature").agg(F.max(F.struct("score", "node", "comp")).alias("c"), F.count("*").alias("size")).select("signature", "size", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
         placed = lookup(groups, saved(centre, "centres"), "signature", "size")
@@ -322,7 +331,7 @@ class _Links:
         counts = groups.groupBy("signature", "comp").agg(F.count("*").alias("n"))
         major = saved(counts.groupBy("signature").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("signature", "size", F.col("m.comp").alias("major")), "majors")
         own = self.family.select("node", "centre")
-        placed = groups.join(own, "node", "left").withColumn("centre", F.coalesce("centre", "node"))
+        placed = groups.drop("size").join(own, "node", "left").withColumn("centre", F.coalesce("centre", "node"))
         placed = saved(lookup(placed, major, "signature", "size"), "in-groups")
         # Groups of one family are done.
         several = placed.groupBy("signature").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("signature", "size")
@@ -359,10 +368,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     reps = saved(nodes.select("node", "rep", "uses"), "reps")
     links = _Links(docs, id_col, text_col, nodes, words, percent)
     discard(nodes)
-    groups = saved(links.members.join(links.comps, "node"), "groups")
+    groups = links.members.withColumn("comp", F.col("node"))
     for turn in range(max(centre_rounds, 1)):
         best = links.by_centre(groups)
-        links.check(links._new(best.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        links.check(links._to_centres(best))
         if turn == 0:
             links.families(best)
         groups = links.apart()

@@ -204,3 +204,30 @@ def test_lookup_of_hot_keys(spark, monkeypatch):
     for how in ("inner", "left"):
         got = _store.lookup(rows, table, "k", "count", how)
         assert got.columns == ["k", "i", "v"] and sorted((r["i"], r["v"]) for r in got.collect()) == [(i, 10 * (i % 2 if i < 90 else i)) for i in range(100)]
+
+
+def test_lookup_without_a_hot_key_reads_rows_once(spark):
+    # The largest key has more than 1 / 10,000 of the rows, but little of what a task gets.
+    rows = spark.range(40_000).select(queries.F.when(queries.F.col("id") < 30, 0).otherwise(queries.F.col("id")).alias("k"), queries.F.col("id").alias("i"))
+    table = _store.saved(rows.groupBy("k").count(), "t")
+    got = _store.lookup(rows, table, "k", "count", drop=False)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 40_000 and got.where("count = 30").count() == 30
+
+
+def test_jobs_of_a_join(spark):
+    # What the driver keeps grows with the jobs, however small they are.
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [x for seed in range(40, 46) for x in family(seed)]
+    for _ in range(30):
+        base = rng.choices(vocabulary, k=60)
+        rows += [base, base[1:], [*base, "end"]]
+    data = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    spark.sparkContext.setJobGroup("jobs-of-a-join", "")
+    try:
+        assert joined(spark, data, 4, 85) == brute(data, 4, 85)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("jobs-of-a-join"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 245
